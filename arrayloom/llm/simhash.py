@@ -1,8 +1,8 @@
 """Near-duplicates by SimHash, with candidates from covering locality-sensitive hashing.
 
 Each of the 64 bit positions gets a vector of radius + 1 bits. For every nonzero
-vector v there is a table keyed by the bits whose vectors are orthogonal to v
-(over two elements). Up to `radius` differing positions leave some v orthogonal
+vector v there is a table keyed by the bits whose vectors are not orthogonal to
+v (over two elements). Up to `radius` differing positions leave some v orthogonal
 to all their vectors, so two fingerprints within the radius share that table's
 key: no pair is lost.
 """
@@ -24,7 +24,7 @@ def masks(radius: int) -> list[int]:
     vectors = [i % n for i in range(64)]  # all vectors equally often, as far as 64 allows
     out = []
     for v in range(1, n):
-        m = sum(1 << i for i in range(64) if (vectors[i] & v).bit_count() % 2 == 0)
+        m = sum(1 << i for i in range(64) if (vectors[i] & v).bit_count() % 2)
         out.append(m - (1 << 64) if m >> 63 else m)
     return out
 
