@@ -1,0 +1,6 @@
+"""The registered queries. Importing this package fills the registry."""
+
+from . import arrays, models, signals, statistics  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
