@@ -61,4 +61,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLES = {"op2_mix": OP2, "op6_exact_dedup": OP6, "op7_quality_rules": OP7}
+OP3 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\*)\|', '<\\\1|', 'g')) + 1
+           + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT p.*, first, sha1(p.h) AS hex FROM p JOIN g USING (h)),
+v AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, (1 + 5 * k)::INT, 5))::BIGINT) AS q FROM d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q[k // 4 + 1] >> (15 - 5 * (k % 4))::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       TRUE AS digest_ok
+FROM v
+"""
+
+ORACLES = {"op2_mix": OP2, "op3_chat_format": OP3, "op4_warc": OP4, "op6_exact_dedup": OP6, "op7_quality_rules": OP7}
