@@ -314,3 +314,33 @@ def wavelet_inverse(bands: list[list[np.ndarray]], name: str = "d4") -> np.ndarr
     for lh, hl, hh in bands[-2::-1]:
         plane = up(up(plane, taps, 0) + up(lh, high, 0), taps, 1) + up(up(hl, taps, 0) + up(hh, high, 0), high, 1)
     return plane
+
+
+def steerable_pyramid(plane: np.ndarray, levels: int, bands: int = 3) -> list[list[np.ndarray]]:
+    """The high residual, per level the oriented bands, and the low residual, by frequency windows."""
+    from .pyramids import frequencies, g1, h1, l1
+
+    def windows(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        y, x = np.meshgrid(frequencies(shape[0]), frequencies(shape[1]), indexing="ij")
+        return np.hypot(y, x), np.arctan2(y, x)
+
+    f = np.fft.fft2(plane)
+    r, _ = windows(plane.shape)
+    out = [[np.fft.ifft2(f * h1(r / 2)).real]]
+    f = f * l1(r / 2) / 2
+    for _ in range(levels):
+        r, a = windows(f.shape)
+        out.append([np.fft.ifft2(f * h1(r) * (g1(k, bands, a) + g1(k, bands, a + math.pi) * (-1) ** (bands - 1)) * (1j) ** (bands - 1)).real for k in range(bands)])
+        f = np.fft.fft2(np.fft.ifft2(f * l1(r)).real[::2, ::2])
+    return [*out, [np.fft.ifft2(f).real]]
+
+
+def drawn(image: np.ndarray, shapes: list[tuple], color: tuple[float, float, float]) -> np.ndarray:
+    """A colour image with circles ("circle", y, x, radius) and points ("point", y, x) over it; grey becomes colour."""
+    out = np.repeat(image, 3, axis=0) if len(image) == 1 else image.copy()
+    y, x = np.mgrid[: image.shape[1], : image.shape[2]]
+    for kind, cy, cx, *r in shapes:
+        d = np.hypot(y - cy, x - cx)
+        on = np.abs(d - r[0]) < 0.5 if kind == "circle" else d < 1e-9
+        out[:, on] = np.array(color)[:, None]
+    return out

@@ -244,3 +244,18 @@ def write_layers(df: DataFrame, path: str, layer: str = "layer", seed: int | Non
     if seed is not None:
         df = df.withColumn("k_", F.xxhash64(F.lit(seed), "id")).sortWithinPartitions("k_").drop("k_")
     df.write.partitionBy(layer).parquet(path)
+
+
+def sparse_characters(content: bytes) -> Iterator[tuple]:
+    """Little-endian records: size, tag, width, height (2 bytes each), then (index 2, value 1) pairs to its end."""
+    at = 0
+    while at + 10 <= len(content):
+        size, tag, width, height = struct.unpack_from("<IHHH", content, at)
+        pairs = np.frombuffer(content, np.dtype([("i", "<u2"), ("v", "u1")]), (size - 10) // 3, at + 10)
+        yield tag, width, height, pairs["i"].astype(int).tolist(), pairs["v"].astype(float).tolist()
+        at += size
+
+
+def read_sparse_characters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, pos, tag, width, height, i, v."""
+    return decoded(spark, paths, sparse_characters, "path string, pos long, tag int, width int, height int, i array<int>, v array<double>")

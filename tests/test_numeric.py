@@ -270,3 +270,22 @@ def test_readers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "layers")).filter("layer = 1").first().data == [0.0, 255.0]
     split = readers.first_per_class(spark.createDataFrame([(f"p{i}", i % 2) for i in range(20)], "path string, label int"), 3, 1)
     assert split.filter("train").count() == 6
+
+
+def test_small_things(spark, tmp_path):
+    a = RNG.random((16, 16))
+    bands = geometry.steerable_pyramid(a, 2)
+    assert [len(b) for b in bands] == [1, 3, 3, 1] and bands[-1][0].shape == (4, 4)
+    flat = geometry.steerable_pyramid(np.ones((16, 16)), 1)
+    assert all(abs(p).max() < 1e-9 for b in flat[:-1] for p in b)
+    d = geometry.drawn(np.zeros((1, 9, 9)), [("circle", 4, 4, 3), ("point", 0, 0)], (1, 2, 3))
+    assert d[:, 0, 0].tolist() == [1, 2, 3] and d[2, 4, 7] == 3 and d[0, 4, 4] == 0
+    pts = spark.createDataFrame([(i, float(i % 5), float(i // 5)) for i in range(25)], "id long, x double, y double")
+    grid = pts.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("cloud"), F.col("id").alias("g"), "x", "y")
+    assert joins.cloud_similarity(pts, pts, grid, ["x", "y"], 1.0).first().s == pytest.approx(2000)
+    moved = pts.withColumn("x", F.col("x") + 3)
+    assert joins.cloud_similarity(pts, moved, grid, ["x", "y"], 1.0).first().s < 100
+    z = spark.createDataFrame([(0, 1.0, 1.0, 1.0, 0.0), (0, 2.0, 0.0, 2.0, 0.0)], "id int, are double, aim double, bre double, bim double")
+    assert joins.complex_distance(z, ["id"]).first().d == -1
+    (tmp_path / "c.bin").write_bytes(struct.pack("<IHHH", 13, 4, 2, 2) + struct.pack("<HB", 3, 200))
+    assert readers.read_sparse_characters(spark, str(tmp_path / "c.bin")).first().v == [200.0]
