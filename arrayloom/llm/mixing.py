@@ -84,14 +84,16 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
     rows = packed(docs, source=docs[f"`{source}`"].cast("string"), id_=docs[f"`{doc_id}`"])
     rows = rows.withColumn("key_", F.md5(F.concat_ws(":", F.coalesce(F.col("id_").cast("string"), F.lit("")), F.lit(seed)).cast("binary")))
     rows = rows.withColumn("bucket_", F.conv(F.substring("key_", 1, 3), 16, 10).cast("int"))
-    counts = staged(rows.groupBy("source", "bucket_").agg(F.count(F.lit(1)).alias("n_")), "counts")
+    # A source as two plain columns, so that joins and windows on it share one exchange.
+    rows = rows.withColumns({"none_": F.col("source").isNull(), "name_": F.coalesce("source", F.lit(""))})
+    counts = staged(rows.groupBy("none_", "name_", "source", "bucket_").agg(F.count(F.lit(1)).alias("n_")), "counts")
     # At most BUCKETS rows a source stand in this window.
-    before = F.coalesce(F.sum("n_").over(W.partitionBy("source").orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = staged(counts.select(F.col("source").alias("s_"), F.col("bucket_").alias("b_"), before.alias("before_")), "offsets")
+    before = F.coalesce(F.sum("n_").over(W.partitionBy("none_", "name_").orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = staged(counts.select("none_", "name_", "bucket_", before.alias("before_")), "offsets")
     sizes = counts.groupBy("source").agg(F.sum("n_").alias("n_rows"))
     slots = staged(frame_slots(quotas(sizes, weights, alpha, frame)), "frame").withColumnRenamed("source", "f_").withColumnRenamed("j", "j_")
-    at = F.row_number().over(W.partitionBy("source", "bucket_").orderBy("key_", "id_", F.xxhash64("row")))
-    placed = rows.withColumn("at_", at).join(offsets, rows["source"].eqNullSafe(offsets["s_"]) & (rows["bucket_"] == offsets["b_"]))
+    at = F.row_number().over(W.partitionBy("none_", "name_", "bucket_").orderBy("key_", "id_", F.xxhash64("row")))
+    placed = rows.withColumn("at_", at).join(offsets, ["none_", "name_", "bucket_"])
     placed = placed.withColumn("index_", F.col("before_") + F.col("at_") - 1).withColumn("block_no", F.floor(F.col("index_") / block_rows))
     share = staged(slots.select(F.col("f_").alias("g_"), "quota", "frame").distinct(), "quotas")
     placed = placed.join(F.broadcast(share), placed["source"].eqNullSafe(share["g_"])).drop("g_")
