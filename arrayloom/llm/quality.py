@@ -68,8 +68,9 @@ def host_verdicts(scored: DataFrame, max_rate: float, prior_docs: float) -> Data
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5, prior_docs: float = 100.0, keep_text: bool = True) -> DataFrame:
     """Every row of docs as the struct `row`, with its measures and verdict.
 
-    Measures are taken once and staged, with the rows; without their text if
-    keep_text is false, which makes that table small.
+    If keep_text is false, rows come without their text, and measures are taken
+    once and staged, a small table. Otherwise they are taken twice, for hosts
+    and for rows, as a staged table would hold all texts.
 
     Measures are those of measured(); kept is false if base_failed or if the
     host's shrunk failure rate exceeds max_rate. A null text is empty (so it
@@ -79,7 +80,9 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
     rows = packed(docs, t_=docs[f"`{text}`"], host=docs[f"`{host}`"])
     if not keep_text:
         rows = rows.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != text]))
-    scored = staged(measured(rows, "t_").drop("t_"), "quality")
+    scored = measured(rows, "t_").drop("t_")
+    if not keep_text:
+        scored = staged(scored, "quality")
     verdicts = host_verdicts(scored, max_rate, prior_docs).withColumnRenamed("host", "h_")
     out = scored.join(verdicts, scored["host"].eqNullSafe(verdicts["h_"]), "left").drop("h_")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
