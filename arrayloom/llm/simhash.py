@@ -55,8 +55,8 @@ def apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints fp that connect all within the radius.
+def linked(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of distinct fingerprints fp: one root for all that links within the radius connect.
 
     First every member of a bucket is held against the bucket's least and
     greatest. That joins dense groups at a row or two a member, and buckets that
@@ -78,15 +78,17 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     mixed = staged(known.join(staged(mixed, "mixed"), ["t", "k"]), "mixed")
     x, y = mixed.filter("root > a").alias("x"), mixed.alias("y")
     differ = (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.root") > F.col("y.root")) & (apart(F.col("x.fp"), F.col("y.fp")) <= radius)
-    more = x.join(y, differ).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
-    return first.union(more)
+    more = x.join(y, differ).select(F.col("x.root").alias("u"), F.col("y.root").alias("v"))
+    # What is left is a graph of components, which is far smaller.
+    joined = staged(components(more), "joined").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    singles = fps.select("fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return singles.join(joined, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
 
 
 def near_groups(rows: DataFrame, radius: int) -> DataFrame:
     """rows (doc_id, fp, ...) with component_id, the least doc_id reachable by links."""
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(fps, radius)).withColumnRenamed("node", "fp")
-    rooted = staged(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rooted = staged(fps.join(linked(fps.select("fp"), radius), "fp"), "rooted")
     least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     groups = staged(rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id"), "groups")
     return rows.join(groups, rows["fp"] == groups["fp_"]).drop("fp_")
@@ -113,7 +115,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs whose id is their component's least, with docs' columns."""
     groups = simhash_groups(docs, doc_id, text, n, radius)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_")).distinct()
-    kept = staged(kept, "kept")
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_")).distinct()
+    gone = staged(gone, "gone")
     rows = packed(docs, id_=docs[f"`{doc_id}`"])
-    return unpacked(rows.join(kept, rows["id_"].eqNullSafe(kept["keep_"]), "left_semi"))
+    return unpacked(rows.join(gone, rows["id_"].eqNullSafe(gone["gone_"]), "left_anti"))
