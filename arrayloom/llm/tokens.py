@@ -9,6 +9,9 @@ frequent pre-token spreads over tasks (it is counted once for each salt).
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,14 +34,23 @@ LONG, SALTS = 256, 64
 POSTINGS = "token string, salt int, docs binary, counts binary"
 
 
+@functools.cache
+def library(spec: str):
+    """The tokenizer, loaded once in a worker, whatever tasks it runs."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_str(spec)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 class Splitter:
     """Texts to pre-tokens as a tokenizer file's own normaliser and pre-tokenizer give them."""
 
     def __init__(self, spec: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(spec)
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.spec = spec
+        special = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.special = set(special)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+")
@@ -54,8 +66,8 @@ class Splitter:
     def plain(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
             return self.pattern.findall(text.lower())
-        normal = self.library.normalizer.normalize_str(text)
-        return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        normal = library(self.spec).normalizer.normalize_str(text)  # few texts need it
+        return [normal[a:b] for _, (a, b) in library(self.spec).pre_tokenizer.pre_tokenize_str(normal)]
 
 
 def varints(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -101,6 +113,10 @@ def unzigzag(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
 
 
+#: Pre-tokens that are held at once, or those of one document if it has more.
+HELD = 2_000_000
+
+
 def poster(spec: str):
     """Batches of (key, text) to postings. The first document of a posting stands whole, later ones as differences."""
 
@@ -108,45 +124,66 @@ def poster(spec: str):
         split = Splitter(spec)
         for batch in batches:
             ids: dict[str, int] = {}
-            parts, sizes = [], []
-            for text in batch.column("text").to_pylist():
-                found = split(text) if text else []
-                parts.append(np.fromiter((ids.setdefault(t, len(ids)) for t in found), np.int64, len(found)))
-                sizes.append(len(found))
-            if not ids:
-                continue
-            n = batch.num_rows
-            doc_ids = batch.column("key").to_numpy(zero_copy_only=False)
-            order = np.argsort(doc_ids, kind="stable")
-            place = np.empty(n, np.int64)
-            place[order] = np.arange(n)
-            both = np.concatenate(parts) * n + np.repeat(place, sizes)
-            both, counts = np.unique(both, return_counts=True)
-            token, doc = both // n, doc_ids[order[both % n]]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            lengths = np.diff(np.concatenate([first, [len(token)]]))
-            deltas = np.concatenate([[0], np.diff(doc)])
-            deltas[first] = doc[first]
-            salt = zlib.crc32(doc_ids[order[0]].tobytes()) % SALTS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(ids)), pa.array(np.where(lengths > LONG, salt, 0), pa.int32()), varints(zigzag(deltas), lengths), varints(counts, lengths)], names=["token", "salt", "docs", "counts"]
-            )
+            keys: list[int] = []
+            parts: list[np.ndarray] = []
+            held = 0
+            for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
+                found = split(text.as_py())
+                if held and held + len(found) > HELD:
+                    yield postings(ids, keys, parts)
+                    ids, keys, parts, held = {}, [], [], 0
+                if found:
+                    keys.append(key.as_py())
+                    parts.append(np.fromiter((ids.setdefault(t, len(ids)) for t in found), np.int32, len(found)))
+                    held += len(found)
+            if held:
+                yield postings(ids, keys, parts)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Freed memory to the system (where the C library can): a task's later stages share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def postings(ids: dict[str, int], keys: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    """By pre-token, in order of its number in ids: keys of documents that have it, and how often."""
+    n, doc_ids = len(keys), np.array(keys, np.int64)
+    order = np.argsort(doc_ids, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    both = np.concatenate(parts).astype(np.int64)
+    both *= n
+    both += np.repeat(place, [len(p) for p in parts])
+    parts.clear()
+    both.sort()
+    start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    counts = np.diff(np.concatenate([start, [len(both)]]))
+    both = both[start]
+    token, doc = both // n, doc_ids[order[both % n]]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    lengths = np.diff(np.concatenate([first, [len(token)]]))
+    deltas = np.concatenate([[0], np.diff(doc)])
+    deltas[first] = doc[first]
+    salt = zlib.crc32(doc_ids[order[0]].tobytes()) % SALTS
+    columns = [pa.array(list(ids)), pa.array(np.where(lengths > LONG, salt, 0), pa.int32()), varints(zigzag(deltas), lengths), varints(counts, lengths)]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "salt", "docs", "counts"])
+
+
 def counter(spec: str):
     """A pandas UDF from pre-tokens to their numbers of pieces."""
 
     @F.pandas_udf("long")
     def pieces(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_str(spec)
-        library.no_truncation()
-        library.no_padding()
+        encode = library(spec).encode_batch_fast
         for t in tokens:
-            yield pd.Series([len(e.ids) for at in range(0, len(t), 2000) for e in library.encode_batch_fast(t.iloc[at : at + 2000].tolist(), add_special_tokens=False)], dtype="int64")
+            yield pd.Series([len(e.ids) for at in range(0, len(t), 500) for e in encode(t.iloc[at : at + 500].tolist(), add_special_tokens=False)], dtype="int64")
+        give_back()
 
     return pieces
 
@@ -168,6 +205,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(ids), np.int64)
         np.add.at(sums, at, tokens)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], names=["key", "n"])
+    give_back()
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
