@@ -37,12 +37,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     long = lambda c: c.cast("long")
     df = df.withColumns({
-        "n_words": long(F.size(w)),
+        "words_": long(F.size(w)),
         "word_chars": long(F.length(t) - F.regexp_count(t, F.lit(SPACE))),
         "n_symbols": long(F.regexp_count(t, F.lit("[#*$%&|<>]"))),
         "n_dup_lines": long(F.size("lines_") - F.size(F.array_distinct("lines_"))),
-        "n_repeat_words": long(F.when(p.isNull(), 0).otherwise(covered)),
-    }).drop("w_", "lines_", "h_", "p_")
+    })
+    # A generator, as filters aren't pushed below it: inlined into a filter, p_ would be made anew for each window.
+    tested = F.struct(F.col("words_").alias("n_words"), long(F.when(p.isNull(), 0).otherwise(covered)).alias("n_repeat_words"))
+    df = df.select("*", F.inline(F.array(tested))).drop("w_", "lines_", "h_", "p_", "words_")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return df.withColumn("base_failed", failed)
 
