@@ -112,10 +112,49 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_shingles", "component_id")
 
 
+def least_rows(docs: DataFrame, marked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of docs for each root of marked (doc_id, digest, root; a row for each of docs).
+
+    That is the row with the least id, null ids last, then the least digest; of
+    full repeats (same id and text) the one whose contents' hash is least.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = staged(marked.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+    repeats = marked.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest", F.lit(False).alias("gone"))
+    gone = marked.join(first.drop("n"), "root").filter(F.col("first") != order).select("doc_id", "digest", F.lit(True).alias("gone"))
+    # Repeats that go are in both.
+    marks = gone.union(repeats).groupBy(F.col("doc_id").alias("doc_id_"), F.col("digest").alias("digest_")).agg(F.max("gone").alias("gone_"))
+    marks = staged(marks, "gone")
+    rows = packed(docs, id_=docs[f"`{doc_id}`"], h_=digest(docs[f"`{text}`"]))
+    same = lambda m: (rows["h_"] == m["digest_"]) & rows["id_"].eqNullSafe(m["doc_id_"])
+    out = rows.join(marks, same(marks), "left_anti").select("row")
+    twice = marks.filter("not gone_")
+    if not twice.isEmpty():
+        again = rows.join(twice, same(twice), "left_semi").groupBy("id_", "h_").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.union(again.select("row"))
+    return unpacked(out)
+
+
+def digest(text: Column) -> Column:
+    """A 64-bit hash of a text, as the texts of one id are told apart by. Null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def marked(docs: DataFrame, doc_id: str, text: str, n: int, radius: int) -> DataFrame:
+    """A row for each of docs: doc_id, digest, and root, one of its component's fingerprints."""
+    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), digest(docs[f"`{text}`"]).alias("digest"), docs[f"`{text}`"].alias("t_"))
+    rows = rows.withColumn("row_", F.monotonically_increasing_id())
+    fps = staged(fingerprints(rows, "t_", n, ["row_", "doc_id", "digest"]), "simhash")
+    roots = staged(linked(staged(fps.select("fp").distinct(), "fingerprints"), radius), "rooted")
+    return staged(fps.select("doc_id", "digest", "fp").join(roots, "fp").drop("fp"), "marked")
+
+
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs whose id is their component's least, with docs' columns."""
-    groups = simhash_groups(docs, doc_id, text, n, radius)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_")).distinct()
-    gone = staged(gone, "gone")
-    rows = packed(docs, id_=docs[f"`{doc_id}`"])
-    return unpacked(rows.join(gone, rows["id_"].eqNullSafe(gone["gone_"]), "left_anti"))
+    """One row of docs for each component of linked fingerprints, with docs' columns.
+
+    Rows are told apart by id and text. The least id stays; a null id only if
+    all its component's ids are null. Rows that repeat an id with different texts
+    are judged each by its own text; of an id's rows in one component that with
+    the least digest stays, and of full repeats one.
+    """
+    return least_rows(docs, marked(docs, doc_id, text, n, radius), doc_id, text)

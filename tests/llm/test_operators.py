@@ -182,6 +182,16 @@ def test_components(spark):
     assert got == root
 
 
+def test_drop_near_rows(spark):
+    far = ["seven clean words that nothing else holds here at all", "another clean text of quite other words about ships", "a third one on mountains and their snow in spring", "the fourth speaks of trains bridges and old stations"]
+    rows = [(3, PROSE, 0), (11, PROSE.upper(), 1), (11, far[0], 2), (None, PROSE.title(), 3), (None, far[1], 4), (5, far[2], 5), (11, far[2].upper(), 6), (20, far[3], 7), (20, far[3], 7), (None, far[1], 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    out = simhash.drop_near(df)
+    assert out.columns == df.columns
+    assert sorted(r.k for r in out.collect()) == [0, 2, 4, 5, 7]
+    assert simhash.drop_near(df.filter("false")).count() == 0
+
+
 def test_mixing(odd, docs, none):
     out = mixing.mixed(docs, weights={"src0": 3.0, "src1": 2.0}, block_rows=2).collect()
     n = docs.count()
