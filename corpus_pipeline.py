@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.llm import exact, mixing, pieces, quality, queries, simhash
+from arrayloom.llm import exact, mixing, pieces, quality, queries, shingles
 from arrayloom.llm.common import fresh_path
 
 
@@ -20,8 +20,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash, that with the smallest id."""
-    return simhash.drop_near(docs)
+    """One document of each group linked by SimHash or a five-word Jaccard index of 0.8, that with the smallest id."""
+    return shingles.drop_alike(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

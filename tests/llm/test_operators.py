@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arrayloom.llm import chat, common, components, exact, licences, mixing, pieces, quality, queries, secrets, simhash, tokens, warc
+from arrayloom.llm import chat, common, components, exact, licences, mixing, pieces, quality, queries, secrets, shingles, simhash, tokens, warc
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards boil a pot of green tea and sing about rivers of the far north"
 ODD = [
@@ -192,6 +192,31 @@ def test_drop_near_rows(spark):
     assert simhash.drop_near(df.filter("false")).count() == 0
 
 
+def test_near_stage_jaccard(spark):
+    """No pair with a five-word Jaccard index of 0.8 is left by the pipeline's stage; nothing else goes."""
+    import corpus_pipeline
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    sets = {}
+    for r in df.collect():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    holds, common_, root = {}, Counter(), {r.doc_id: r.component_id for r in simhash.simhash_groups(df).collect()}
+    for i, s in sorted(sets.items()):
+        for x in s:
+            for j in holds.setdefault(x, []):
+                common_[j, i] += 1
+            holds[x].append(i)
+    near = [p for p, n in common_.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    assert sum(root[a] != root[b] for a, b in near) > 3  # the fingerprints alone miss these
+    for a, b in near:
+        x, y = sorted((root[a], root[b]))
+        root = {i: x if r == y else r for i, r in root.items()}
+    out = corpus_pipeline.near_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted({min(i for i in root if root[i] == r) for r in set(root.values())})
+
+
 def test_mixing(odd, docs, none):
     out = mixing.mixed(docs, weights={"src0": 3.0, "src1": 2.0}, block_rows=2).collect()
     n = docs.count()
