@@ -110,9 +110,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
     )
 
 
-def in_order(docs: DataFrame, **how) -> DataFrame:
-    """docs' rows and columns in the order of the mix: partitions, and files written from them, hold it in turn."""
+def in_order(docs: DataFrame, position: str | None = None, **how) -> DataFrame:
+    """docs' rows and columns in the order of the mix: partitions, and files written from them, hold it in turn.
+
+    Readers may take files in another order; a column named by `position` keeps the place.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = max(1, -(-docs.count() // parts))
     out = mixed(docs, **how).withColumn("part_", F.floor(F.col("position") / each).cast("int"))
-    return out.repartitionById(parts, "part_").sortWithinPartitions("position").select("row.*")
+    return out.repartitionById(parts, "part_").sortWithinPartitions("position").select("row.*", *[F.col("position").alias(c) for c in [position] if c])

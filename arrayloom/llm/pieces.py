@@ -239,7 +239,9 @@ def result(docs: pa.Table | pa.RecordBatch, model: Model, known: dict[str, bytes
     ids = joined_ids(texts, model, re.compile(model.pattern), known)
     hashes = pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in texts], pa.string())
     doc_id = docs.column("doc_id")
-    return pa.RecordBatch.from_arrays([doc_id.combine_chunks() if isinstance(doc_id, pa.ChunkedArray) else doc_id, ids, hashes], names=["doc_id", "ids", "text_sha256"])
+    carried = [c for c in docs.schema.names if c not in ("doc_id", "text", "block")]
+    plain = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (doc_id, *map(docs.column, carried))]
+    return pa.RecordBatch.from_arrays([plain[0], ids, hashes, *plain[1:]], names=["doc_id", "ids", "text_sha256", *carried])
 
 
 def in_batches(model: Model, at_most: int = 500_000):
@@ -272,8 +274,8 @@ def in_block(model: Model):
 OUT = "doc_id long, ids array<int>, text_sha256 string"
 
 
-def encoded(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
-    """Every row of docs: doc_id, ids (array of int, as the library gives them), text_sha256.
+def encoded(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", blocks: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of docs: doc_id, ids (array of int, as the library gives them), text_sha256, and the columns in carry.
 
     For unigram models, a block is a share of the documents by hash, one for each
     shuffle partition unless `blocks` says otherwise; it is what one task holds.
@@ -281,17 +283,18 @@ def encoded(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     Null or empty texts have no ids; repeated rows each have their own; a null id
     stays null.
     """
-    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"))
+    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"), *[docs[f"`{c}`"] for c in carry])
+    out = ", ".join([OUT, *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry]])
     if not model.unigram:
-        return rows.mapInArrow(in_batches(model), OUT)
+        return rows.mapInArrow(in_batches(model), out)
     n = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).select("block", "doc_id", "text").repartition("block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).select("block", "doc_id", "text", *[f"`{c}`" for c in carry]).repartition("block")
     marked = F.concat(F.lit(SPACE_MARK if model.prefix else ""), F.replace("text", F.lit(" "), F.lit(SPACE_MARK)))
     each = rows.select(F.col("block").alias("part"), "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(marked, F.lit(f"({model.pattern})"), F.lit(1)))).alias("word"))
     # any_id is carried so that both sides read the same columns, and so one exchange.
     words = each.groupBy("part", "word").agg(F.max("doc_id").alias("any_id"))
     ids = lattice(words, model, ["part"])
-    return rows.groupBy("block").cogroup(ids.groupBy("part")).applyInArrow(in_block(model), OUT)
+    return rows.groupBy("block").cogroup(ids.groupBy("part")).applyInArrow(in_block(model), out)
 
 
 def decoder(model: Model):

@@ -25,14 +25,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of a mix to weights by the square root of the sources' sizes."""
-    return mixing.in_order(docs)
+    """All documents with mix_position, their place in a mix to weights by the square root of the sources' sizes."""
+    return mixing.in_order(docs, position="mix_position")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token ids of every document."""
-    out = pieces.encoded(docs, queries.piece_model())
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, token ids and mix_position of every document."""
+    out = pieces.encoded(docs, queries.piece_model(), carry=("mix_position",))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "mix_position")
 
 
 STAGES = [

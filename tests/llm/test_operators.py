@@ -427,3 +427,28 @@ def test_pipeline(spark, sf):
     lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
     assert all(r.ids == lib.encode(docs[r.doc_id]) and r.n_tokens == len(r.ids) for r in out)
     assert model.prefix and common.shared_dir(spark)
+
+
+def test_pipeline_keeps_mix(spark, tmp_path, monkeypatch):
+    """On an input of several unequal files, the positions that run() returns are the mix."""
+    import corpus_pipeline
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", F.substring("text", 1, 200).alias("text"))
+    for part in ("doc_id < 30", "doc_id >= 30 and doc_id < 700", "doc_id >= 700"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    place = {r.doc_id: r.mix_position for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    source = {r.doc_id: r.source for r in df.collect()}
+    assert sorted(place.values()) == list(range(len(source)))
+    left = Counter(source.values())
+    total = sum(n**0.5 for n in left.values())
+    share, done = {s: n**0.5 / total for s, n in left.items()}, Counter()
+    for p, i in enumerate(sorted(place, key=place.get), 1):
+        done[source[i]] += 1
+        left[source[i]] -= 1
+        if not all(left.values()):
+            break
+        assert all(abs(done[s] - w * p) < 2 * 32 for s, w in share.items())
+    assert p > 100
+    mix = mixing.mixed(df).select("row.doc_id", "position").collect()
+    assert place == {r.doc_id: r.position for r in mix}
