@@ -38,9 +38,7 @@ def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: tokens, a digest of the ids (decimal, comma-joined), of the decoded text, and whether it is the text."""
-    model = piece_model()
-    ids = pieces.encoded(table(spark, sf_dir, "documents"), model)
-    done = ids.withColumn("decoded_sha256", F.sha2(pieces.decoder(model)("ids"), 256))
+    done = pieces.encoded(table(spark, sf_dir, "documents"), piece_model(), decode=True).withColumn("decoded_sha256", F.sha2("decoded", 256))
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "decoded_sha256", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip")
     )

@@ -251,12 +251,28 @@ def test_pieces(odd, docs, none):
     model = queries.piece_model()
     lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
     more = odd.select("doc_id", "text").union(odd.sparkSession.createDataFrame([(100 + i, t) for i, t in enumerate(["▁▁x ▁", " " * 33 + "q", "x" * 70 + "中" * 70, "\x00 \x01", "a  b   c\r\n\t"])], "doc_id long, text string"))
-    for df in (more, docs.limit(60)):
+    for df in (more, docs):
         want = Counter((r.doc_id, tuple(lib.encode(r.text or ""))) for r in df.collect())
         got = pieces.encoded(df, model).withColumn("text", pieces.decoder(model)("ids")).collect()
         assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
         assert all(r.text == lib.decode(r.ids) for r in got)
+        both = pieces.encoded(df, model, decode=True).collect()
+        assert Counter((r.doc_id, r.text_sha256, r.decoded) for r in both) == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest(), lib.decode(lib.encode(r.text or ""))) for r in df.collect())
     assert pieces.encoded(none, model).count() == 0
+    rng = np.random.default_rng(4)  # any ids at all, those of broken characters included
+    lists = [[int(i) for i in rng.integers(3, lib.vocab_size(), 30)] for _ in range(50)] + [[int(i) for i in rng.integers(3, 259, 9)] for _ in range(200)] + [[], None]
+    out = odd.sparkSession.createDataFrame([(i, x) for i, x in enumerate(lists)], "k int, ids array<int>").coalesce(1).withColumn("text", pieces.decoder(model)("ids")).collect()
+    assert all(r.text == (None if r.ids is None else lib.decode(r.ids)) for r in out)
+
+
+def test_merges():
+    """All words of a batch at once give what one word after the other gives, ties and long words included."""
+    rng = np.random.default_rng(5)
+    made = {c: (k, 0.0) for k, c in enumerate("abc")} | {x: (10 + k, -float(k // 2)) for k, x in enumerate(["ab", "ba", "aa", "abab", "aab", "cc", "bcb", "cb", "aba", "xa", "dab"])}
+    model = pieces.Model(False, made, [""] * 40, [1] * 40, 39)
+    words = ["".join(rng.choice(list("abcxdé"), rng.integers(1, n))) for n in (3, 9, 20, 63, 90) for _ in range(200)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in pieces.Merges(model)(words)] == [model.whole(w) for w in words]
+    assert all(pieces.merged(w, model.scores) == pieces.merged_long(w, model.scores) for w in words)
 
 
 def test_unigram_lattice(docs, odd, none):
@@ -288,7 +304,7 @@ def test_unigram_lattice(docs, odd, none):
         if piece not in letters:
             add(piece, -3 - rng.random() * 6)
     lib, model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces.Model.of(proto)
-    for df in (docs.limit(25), odd):
+    for df in (docs, odd):
         want = Counter((r.doc_id, tuple(lib.encode(r.text or ""))) for r in df.collect())
         assert Counter((r.doc_id, tuple(r.ids)) for r in pieces.encoded(df, model).collect()) == want
     assert pieces.encoded(none, model).count() == 0
