@@ -192,6 +192,11 @@ def test_drop_near_rows(spark):
     assert simhash.drop_near(df.filter("false")).count() == 0
 
 
+def five_word_set(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_near_stage_jaccard(spark):
     """No pair with a five-word Jaccard index of 0.8 is left by the pipeline's stage; nothing else goes."""
     import corpus_pipeline
@@ -199,8 +204,7 @@ def test_near_stage_jaccard(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
     sets = {}
     for r in df.collect():
-        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
-        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        sets[r.doc_id] = five_word_set(r.text)
     holds, common_, root = {}, Counter(), {r.doc_id: r.component_id for r in simhash.simhash_groups(df).collect()}
     for i, s in sorted(sets.items()):
         for x in s:
@@ -396,6 +400,74 @@ def test_licences(odd, docs, none, spark):
         assert found[r.doc_id] in want if want else found[r.doc_id] is None
 
 
+MIT = licences.TEMPLATES[3][1].split("Copyright (c)")[1]
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), width))
+
+
+def test_licence_headers(spark):
+    """Wrapped headers amid long files, tags, licence files whole; what is no licence file gives nothing."""
+    by = dict(reversed(licences.TEMPLATES))
+    filler = "\n".join(f"x{i} = compute(y{i % 7}, {i})  # step {i} of the plan" for i in range(60))
+    gpl = next(t for n, t in licences.TEMPLATES if n == "GPL-3.0" and "any later" in t)
+    gpl2 = next(t for n, t in licences.TEMPLATES if n == "GPL-2.0" and "any later" in t)
+    apache = next(t for n, t in licences.TEMPLATES if n == "Apache-2.0" and "governing" in t)
+    bsd3, bsd2 = (next(t for n, t in licences.TEMPLATES if n == k and "DISCLAIMED" in t) for k in ("BSD-3-Clause", "BSD-2-Clause"))
+    rows = [
+        ("r/c.py", "# SPDX-License-Identifier: MIT\nx = 1", ("MIT", "tag")), ("r/e.py", "All rights reserved", (None, None)), ("r/d.py", "Licensed under the Apache License, Version 2.0.", ("Apache-2.0", "file")),
+        ("p/LICENSE", "MIT License\n\nCopyright (c) 2021 Some One\n\n" + wrapped(MIT, 78), ("MIT", "file")), ("p/a/b.py", filler, ("MIT", "inherited")),
+        ("q/1.c", filler + "\n" + wrapped(gpl, 70, " * ") + "\n" + filler, ("GPL-3.0", "header")), ("q/2.c", filler + "\n" + wrapped(gpl2, 60, "// ") + "\n" + filler, ("GPL-2.0", "header")),
+        ("q/3.java", "/*\n * Copyright 2019 Some One\n *\n" + wrapped(apache, 72, " * ") + "\n */\n" + filler, ("Apache-2.0", "header")),
+        ("q/4.go", wrapped(bsd3, 75, "// ") + "\n" + filler, ("BSD-3-Clause", "header")), ("q/5.go", filler + "\n" + wrapped(bsd2, 75, "// ") + "\n" + filler, ("BSD-2-Clause", "header")),
+        ("q/6.py", filler + "\n" + wrapped(by["Unlicense"], 70, "# ") + "\n" + filler, ("Unlicense", "header")), ("q/7.py", filler + "\n# MIT License\n" + filler, ("MIT", "header")),
+        ("q/8.txt", "The permission to park here is granted to no one. Copyright is a long word. " + PROSE, (None, None)), ("q/9.py", filler, (None, None)), ("q/10", "word " * 20_000 + "\nReleased under the MIT License.\n" + "word " * 20_000, ("MIT", "header")),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    assert [(r.licence, r.how) for r in sorted(licences.licences(df).collect(), key=lambda r: r.row.doc_id)] == [w for *_, w in rows]
+
+
+def test_licences_brute_force(docs, odd):
+    """Scores against the definition, computed for each document by itself."""
+    import math
+
+    def terms(t):
+        return [x for x in re.split(r"[^a-z0-9.+-]+", re.sub(r"\.+(?=[^A-Za-z0-9]|$)", " ", t).lower()) if re.search("[a-z0-9]", x)]
+
+    for df in (docs, odd):
+        texts = [r.text or "" for r in df.collect()]
+        names, vecs = [n for n, _ in licences.TEMPLATES], [Counter(terms(t)) for _, t in licences.TEMPLATES]
+        vocabulary = {x for v in vecs for x in v}
+        freq = Counter(x for t in texts for x in vocabulary & set(terms(t)))
+        idf = {x: math.log((len(texts) + 1) / (freq[x] + 1)) + 1 for x in vocabulary}
+        other = math.log(len(texts) + 1) + 1
+        tvec = [{x: n * idf[x] for x, n in v.items()} for v in vecs]
+        tlen = [math.sqrt(sum(x * x for x in v.values())) for v in tvec]
+
+        def best(unit, idf=idf, other=other, tvec=tvec, tlen=tlen, names=names):
+            c = Counter(unit)
+            length = math.sqrt(sum((n * idf[x]) ** 2 if x in idf else n * other**2 for x, n in c.items()))
+            return max((round(sum(n * idf[x] * v[x] for x, n in c.items() if x in v) / length / k, 9), name) for v, k, name in zip(tvec, tlen, names))
+
+        want = Counter()
+        for r in df.collect():
+            t = r.text or ""
+            segs = [s for s in re.split(r"\n|(?<=[.!?;])\s+", t) if terms(s)]
+            runs = []
+            if re.search(licences.ANCHOR, t):
+                starts = [i for i in range(len(segs)) if any(re.search(licences.ANCHOR, s) for s in segs[i : i + licences.BEFORE + 1])]
+                runs = [(i, n) for i in starts for n in licences.RUNS if i + n <= len(segs)] + [(0, len(segs))]
+            found = [(best(u), k == len(runs) - 1) for k, (i, n) in enumerate(runs) if 0 < len(u := [x for s in segs[i : i + n] for x in terms(s)]) <= licences.MOST_TERMS]
+            found = [f for f in found if f[0][0] >= 0.8]
+            top = max((f[0] for f in found), default=(None, None))
+            want[r.doc_id, top[1], top[0] and round(top[0], 6), "file" if any(w for _, w in found) else "header" if found else None] += 1
+        got = licences.licences(df.withColumn("path", F.concat(F.lit("x/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))))
+        assert Counter((r.row.doc_id, r.licence, r.score and round(r.score, 6), r.how) for r in got.collect()) == want
+
+
 def test_token_counts(odd, docs, none):
     import tokenizers
 
@@ -427,12 +499,12 @@ def test_pipeline(spark, sf):
         first.setdefault(docs[i], i)
     ids = sorted(first.values())
     fp, root = {i: fingerprint(docs[i]) for i in ids}, {i: i for i in ids}
+    sets = {i: five_word_set(docs[i]) for i in ids}
+    near = [(i, j) for i in ids for j in ids if (fp[i] ^ fp[j]).bit_count() <= 4 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     for _ in ids:
         before = dict(root)
-        for i in ids:
-            for j in ids:
-                if (fp[i] ^ fp[j]).bit_count() <= 4:
-                    root[i] = min(root[i], root[j])
+        for i, j in near:
+            root[i] = min(root[i], root[j])
         if before == root:
             break
     out = corpus_pipeline.run(spark, sf).collect()
