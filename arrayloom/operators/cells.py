@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.storage import staged
+
 
 def to_long(df: DataFrame, cols: int, rows: int, data: str = "data", keep: tuple[str, ...] = ("id", "label")) -> DataFrame:
     """One row per value: keep, c, y, x, v, in row-major order of channel, row and column."""
@@ -141,3 +143,35 @@ def every_nth(df: DataFrame, n: int, order: str, keys: list[str]) -> DataFrame:
 def top_k(df: DataFrame, k: int, by: str, tie: str, keys: list[str]) -> DataFrame:
     """The k largest of each group; ties by the smaller tie."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(by), tie))).filter(F.col("rank") <= k)
+
+
+def after(df: DataFrame, n: int, order: str) -> DataFrame:
+    """Rows but the first n in order. The n-th value is found by a top-n of each task, and rows up to it are left out where they stand.
+
+    Rows of equal order are told apart by their hash, as a full sort would by chance.
+    """
+    key = F.struct(F.col(order).alias("o"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    first = df.select(key.alias("k")).orderBy("k").limit(n)
+    last = first.agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    if n <= 0 or not last["n"]:
+        return df
+    if last["n"] < n:
+        return df.filter("false")
+    bound = F.struct(F.lit(last["k"]["o"]).alias("o"), F.lit(last["k"]["h"]).alias("h"))
+    return df.filter(key > bound)
+
+
+def joined_by(df: DataFrame, key: str, order: str, vec: str = "vec") -> DataFrame:
+    """key, at, v: the vectors of a key end to end in order, a row for each value.
+
+    A vector's place is the summed lengths of those before it: of earlier ranges
+    of the order, then of its own range. So no task holds all of a key.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(order).alias("o"), F.col(vec).cast("array<double>").alias("x"))
+    ranged = staged(rows.repartitionByRange("key", "o").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("key", "part").agg(F.sum(F.size("x")).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("key").alias("key_"), F.col("part").alias("part_"), earlier.alias("before"))
+    within = F.coalesce(F.sum(F.size("x")).over(W.partitionBy("key", "part").orderBy("o").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("within", within).join(sizes, F.col("key").eqNullSafe(F.col("key_")) & (F.col("part") == F.col("part_")))
+    return placed.select(F.col("key").alias(key), (F.col("before") + F.col("within")).alias("start"), F.posexplode("x").alias("i", "v")).select(key, (F.col("start") + F.col("i")).alias("at"), "v")

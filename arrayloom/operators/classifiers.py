@@ -7,6 +7,7 @@ machines work on a bounded set of training rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
+from ..functions.storage import staged
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,23 @@ def labels_in_order(df: DataFrame, label: str, order: str) -> tuple[float, ...]:
     return tuple(r.y for r in rows)
 
 
+#: The hinge is rounded off over this width of margin, which moves no optimum by more.
+CORNER = 1e-2
+
+
+def hinge(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, slope and curvature of the hinge with its corner rounded off."""
+    under = 1 - z
+    near = (under > 0) & (under < CORNER)
+    value = np.where(under >= CORNER, under - CORNER / 2, np.where(near, under**2 / (2 * CORNER), 0.0))
+    return value, np.where(under >= CORNER, -1.0, np.where(near, -under / CORNER, 0.0)), np.where(near, 1 / CORNER, 0.0)
+
+
 #: Losses of margins z, their derivatives and curvatures.
 LOSSES = {
-    "squared_hinge": (lambda z: np.maximum(0, 1 - z) ** 2, lambda z: -2 * np.maximum(0, 1 - z), lambda z: 2.0 * (z < 1)),
-    "logistic": (lambda z: np.logaddexp(0, -z), lambda z: -1 / (1 + np.exp(z)), lambda z: 1 / (2 + np.exp(z) + np.exp(-z))),
+    "squared_hinge": lambda z: (np.maximum(0, 1 - z) ** 2, -2 * np.maximum(0, 1 - z), 2.0 * (z < 1)),
+    "hinge": hinge,
+    "logistic": lambda z: (np.logaddexp(0, -z), -1 / (1 + np.exp(np.minimum(z, 700))), 1 / (2 + np.exp(np.minimum(z, 700)) + np.exp(np.minimum(-z, 700)))),
 }
 
 
@@ -81,46 +96,118 @@ def sums(df: DataFrame, f, width: int, vec: str, y: str) -> np.ndarray:
     return out
 
 
-def train_linear(df: DataFrame, n: int, c: float = 1.0, loss: str = "squared_hinge", label: str = "label", vec: str = "vec", order: str = "id", rounds: int = 30, tolerance: float = 1e-3, l1: bool = False) -> Linear:
-    """One-vs-rest by Newton steps on |w|^2 / 2 + C sum loss (or |w|_1 by proximal gradients): no bias.
+#: Up to this many features a pass sums whole Hessians; beyond, products of Hessians with directions.
+DENSE = 128
+
+
+def step_within(product, gradient: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steihaug's conjugate gradients for each row of gradient: a step within its radius, and the model's reduction.
 
-    A round sums gradients and Hessians of all classes in one pass.
+    product(directions) gives all rows' Hessian products at once, so an iteration is one pass over the data.
     """
-    value, slope, bend = LOSSES[loss]
+    s, r = np.zeros_like(gradient), -gradient
+    d, target = r.copy(), 0.1 * np.linalg.norm(gradient, axis=1)
+    live = np.linalg.norm(r, axis=1) > target
+    for _ in range(2 * gradient.shape[1] if live.any() else 0):
+        hd = product(d)
+        rr, curve = (r * r).sum(1), (d * hd).sum(1)
+        alpha = np.where(live, rr / np.where(curve > 0, curve, 1.0), 0.0)
+        ahead = s + alpha[:, None] * d
+        out = live & (np.linalg.norm(ahead, axis=1) >= radius)
+        for k in np.flatnonzero(out):  # to the border along d
+            a, b, c = d[k] @ d[k], 2 * s[k] @ d[k], s[k] @ s[k] - radius[k] ** 2
+            alpha[k] = (-b + np.sqrt(max(b * b - 4 * a * c, 0.0))) / (2 * a)
+        s, r = s + alpha[:, None] * d, r - alpha[:, None] * hd
+        live &= ~out & (np.linalg.norm(r, axis=1) > target)
+        if not live.any():
+            break
+        d = np.where(live[:, None], r + ((r * r).sum(1) / np.where(rr > 0, rr, 1.0))[:, None] * d, 0.0)
+    return s, 0.5 * ((s * r).sum(1) - (s * gradient).sum(1))
+
+
+def trust_region(start: np.ndarray, value_slope, product_at, tolerance: float, rounds: int) -> np.ndarray:
+    """The minimum of each row's objective. A step that doesn't lower it is not taken; its radius shrinks instead."""
+    w = start
+    f, g, state = value_slope(w)
+    first, radius = np.linalg.norm(g, axis=1), np.linalg.norm(g, axis=1)
+    for _ in range(rounds):
+        done = np.linalg.norm(g, axis=1) <= tolerance * np.maximum(first, 1e-300)
+        if done.all():
+            return w
+        step, expected = step_within(product_at(state), np.where(done[:, None], 0.0, g), radius)
+        new_f, new_g, new_state = value_slope(w + step)
+        gain = f - new_f
+        ratio, size = gain / np.where(expected > 0, expected, 1.0), np.linalg.norm(step, axis=1)
+        radius = np.where(ratio < 0.25, 0.25 * size, np.where(ratio > 0.75, np.maximum(radius, 3 * size), radius))
+        take = ~done & (gain > 1e-4 * expected)
+        stuck = ~done & (expected <= 1e-14 * np.maximum(np.abs(f), 1.0))  # at the limit of the numbers
+        if (done | stuck).all():
+            return w
+        w = np.where(take[:, None], w + step, w)
+        f, g = np.where(take, new_f, f), np.where(take[:, None], new_g, g)
+        state = tuple(np.where(take.reshape(-1, *[1] * (a.ndim - 1)), n, a) for n, a in zip(new_state, state, strict=True))
+    warnings.warn(f"no convergence within {rounds} rounds", RuntimeWarning, stacklevel=3)
+    return w
+
+
+def train_linear(df: DataFrame, n: int, c: float = 1.0, loss: str = "squared_hinge", label: str = "label", vec: str = "vec", order: str = "id", rounds: int = 100, tolerance: float = 1e-4, l1: bool = False) -> Linear:
+    """One-vs-rest on |w|^2 / 2 + C sum loss by a trust region (or |w|_1 by proximal gradients): no bias.
+
+    Losses are squared_hinge, hinge and logistic. A pass sums the gradients of
+    all classes, with their Hessians up to DENSE features; beyond that each
+    iteration of conjugate gradients is a pass that sums Hessian products. What
+    reaches the driver is classes x features numbers (x features up to DENSE).
+    Ends when gradients are `tolerance` of their start, or warns after `rounds`.
+    """
+    terms = LOSSES[loss]
     labels = labels_in_order(df, label, order)
-    if len(labels) == 2:  # one vector, for the first label, and its opposite
-        targets = labels[:1]
-    else:
-        targets = labels
-    k = len(targets)
-    w = np.zeros((k, n))
-    size = n + n * n + 1
+    targets = labels[:1] if len(labels) == 2 else labels  # of two, one vector, and its opposite
+    k, dense = len(targets), n <= DENSE or l1
+    size = 1 + n + (n * n if dense else 0)
 
-    def statistics(current: np.ndarray):
+    def statistics(current: np.ndarray) -> np.ndarray:
         def f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             out = []
             for t, wk in zip(targets, current, strict=True):
                 s = np.where(y == t, 1.0, -1.0)
-                z = s * (x @ wk)
-                out += [x.T @ (s * slope(z)), ((x * bend(z)[:, None]).T @ x).ravel(), [value(z).sum()]]
+                value, slope, bend = terms(s * (x @ wk))
+                out += [[value.sum()], x.T @ (s * slope)] + ([((x * bend[:, None]).T @ x).ravel()] if dense else [])
             return np.concatenate(out)
 
-        return sums(df, f, k * size, vec, label).reshape(k, size)
+        return c * sums(df, f, k * size, vec, label).reshape(k, size)
 
-    step = np.ones(k)
-    for _ in range(rounds):
-        got = statistics(w)
-        gradient, hessian = got[:, :n] * c, got[:, n:-1].reshape(k, n, n) * c
-        if l1:
-            bound = np.array([np.linalg.eigvalsh(h)[-1] + 1e-9 for h in hessian])[:, None]
-            moved = w - gradient / bound
+    if l1:
+        w = np.zeros((k, n))
+        for _ in range(rounds):
+            got = statistics(w)
+            bound = np.array([np.linalg.eigvalsh(h)[-1] + 1e-9 for h in got[:, 1 + n :].reshape(k, n, n)])[:, None]
+            moved = w - got[:, 1 : 1 + n] / bound
             new = np.sign(moved) * np.maximum(np.abs(moved) - 1 / bound, 0)
+            done = np.abs(new - w).max() <= 1e-3 * max(1.0, np.abs(w).max())
+            w = new
+            if done:
+                break
         else:
-            new = w - step[:, None] * np.stack([np.linalg.solve(np.eye(n) + h, wk + g) for h, wk, g in zip(hessian, w, gradient, strict=True)])
-        done = np.abs(new - w).max() <= tolerance * max(1.0, np.abs(w).max())
-        w = new
-        if done:
-            break
+            warnings.warn(f"no convergence within {rounds} rounds", RuntimeWarning, stacklevel=2)
+    else:
+
+        def value_slope(w: np.ndarray):
+            got = statistics(w)
+            return 0.5 * (w * w).sum(1) + got[:, 0], w + got[:, 1 : 1 + n], ((got[:, 1 + n :].reshape(k, n, n),) if dense else (w,))
+
+        def product_at(state: tuple):
+            if dense:
+                return lambda d: d + np.einsum("kij,kj->ki", state[0], d)
+
+            def product(d: np.ndarray) -> np.ndarray:
+                def f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                    return np.concatenate([x.T @ (terms(np.where(y == t, 1.0, -1.0) * (x @ wk))[2] * (x @ dk)) for t, wk, dk in zip(targets, state[0], d, strict=True)])
+
+                return d + c * sums(df, f, k * n, vec, label).reshape(k, n)
+
+            return product
+
+        w = trust_region(np.zeros((k, n)), value_slope, product_at, tolerance, rounds)
     return Linear(labels, np.vstack([w, -w]) if len(labels) == 2 else w)
 
 
@@ -146,42 +233,45 @@ def train_crammer_singer(df: DataFrame, n: int, c: float = 1.0, label: str = "la
     return Linear(labels, mean)
 
 
-def train_svr(df: DataFrame, n: int, c: float = 1.0, eps: float = 0.1, y: str = "label", vec: str = "vec", rounds: int = 50) -> np.ndarray:
-    """Weights of squared epsilon-insensitive regression, by Newton steps."""
-    w = np.zeros(n)
-    for _ in range(rounds):
+def train_svr(df: DataFrame, n: int, c: float = 1.0, eps: float = 0.1, y: str = "label", vec: str = "vec", rounds: int = 100, tolerance: float = 1e-6, squared: bool = True) -> np.ndarray:
+    """Weights of epsilon-insensitive regression, squared or (its corner rounded off) absolute, by a trust region."""
 
-        def f(x: np.ndarray, t: np.ndarray, w: np.ndarray = w) -> np.ndarray:
-            r = x @ w - t
-            over = np.sign(r) * np.maximum(np.abs(r) - eps, 0)
-            live = x[np.abs(r) > eps]
-            return np.concatenate([2 * x.T @ over, 2 * (live.T @ live).ravel()])
-
-        got = sums(df, f, n + n * n, vec, y)
-        new = w - np.linalg.solve(np.eye(n) + c * got[n:].reshape(n, n), w + c * got[:n])
-        if np.abs(new - w).max() < 1e-6:
-            return new
-        w = new
-    return w
+    def value_slope(w: np.ndarray):
+        def f(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+            r = x @ w[0] - t
+            if squared:
+                over = np.maximum(np.abs(r) - eps, 0)
+                value, slope, bend = over**2, 2 * over, 2.0 * (over > 0)
+            else:
+                value, slope, bend = hinge(1 - (np.abs(r) - eps))
+                slope = -slope
+            return np.concatenate([[value.sum()], x.T @ (np.sign(r) * slope), ((x * bend[:, None]).T @ x).ravel()])
+
+        got = c * sums(df, f, 1 + n + n * n, vec, y)
+        return 0.5 * (w * w).sum(1) + got[0], w + got[1 : 1 + n], (got[1 + n :].reshape(1, n, n),)
+
+    return trust_region(np.zeros((1, n)), value_slope, lambda state: lambda d: d + np.einsum("kij,kj->ki", state[0], d), tolerance, rounds)[0]
 
 
 def folds(df: DataFrame, k: int, order: str = "id") -> DataFrame:
     """df with fold: contiguous runs of rows / k, in order; the rest has fold k, which is never tested.
 
-    Ranks come from counts of ranges of the order column, so no task sorts all rows.
+    Rows are dealt by ranges of the order column and staged with their range's
+    number, as a second run would draw other bounds. Ranks come from the ranges'
+    counts, so no task sorts all rows. Rows of equal order stand by their hash.
     """
-    ranged = df.repartitionByRange(order).withColumn("part_", F.spark_partition_id()).withColumn("at_", F.row_number().over(W.partitionBy("part_").orderBy(order)))
+    ranged = staged(df.repartitionByRange(order).withColumn("part_", F.spark_partition_id()), "folds")
+    at = F.row_number().over(W.partitionBy("part_").orderBy(order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
     counts = {r["part_"]: r["n"] for r in ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("n")).collect()}
     size, before, start = sum(counts.values()) // k, {}, 0
     for p in sorted(counts):
         before[p], start = start, start + counts[p]
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part_")) if before else F.lit(0)
-    return ranged.withColumn("fold", F.least(F.floor((offset + F.col("at_") - 1) / max(size, 1)), F.lit(k)).cast("int")).drop("part_", "at_")
+    return ranged.withColumn("at_", at).withColumn("fold", F.least(F.floor((offset + F.col("at_") - 1) / max(size, 1)), F.lit(k)).cast("int")).drop("part_", "at_")
 
 
 def cross_validated(df: DataFrame, k: int, fit, order: str = "id") -> list[float]:
     """Percent right on each fold of a model fit on the others. fit(train) gives a function from test to predicted rows."""
-    from ..functions.storage import staged
     from .stats import accuracy
 
     parts = staged(folds(df, k, order), "folds")
@@ -192,6 +282,37 @@ def cross_validated(df: DataFrame, k: int, fit, order: str = "id") -> list[float
     return out
 
 
+def linear_after_pca(n: int, components: int, c: float = 1.0, vec: str = "vec", **how):
+    """For cross_validated(): PCA and linear machines, both fit on the training folds alone."""
+    from . import stats
+
+    def fit(train: DataFrame):
+        mean, rows, _ = stats.pca(train, vec, n, components)
+        reduced = lambda df: df.withColumn("reduced", stats.project(F.col(vec).cast("array<double>"), mean.tolist(), rows.tolist()))
+        model = train_linear(staged(reduced(train), "reduced"), components, c, vec="reduced", **how)
+        return lambda test: predicted(reduced(test), model, "reduced")
+
+    return fit
+
+
+def kernel_machines(vec: str = "vec", **how):
+    """For cross_validated(): kernel machines."""
+
+    def fit(train: DataFrame):
+        models = train_kernel(train, vec=vec, **how)
+        return lambda test: kernel_predicted(test, models, vec)
+
+    return fit
+
+
+def train_and_test(train: DataFrame, test: DataFrame, n: int, vec: str = "vec", **how) -> tuple[Linear, DataFrame]:
+    """A model of train, and its accuracy on test (one row)."""
+    from .stats import accuracy
+
+    model = train_linear(train, n, vec=vec, **how)
+    return model, accuracy(predicted(test, model, vec), "label", "predicted")
+
+
 def best_c(df: DataFrame, n: int, start: float = 1.0, most: float = 4096.0, k: int = 5) -> tuple[float, float]:
     """C and its accuracy: doubled from start to most, until three doublings bring nothing."""
     best, stale, c = (start, -1.0), 0, start
@@ -220,7 +341,7 @@ class Kernel:
 
 
 def gram(a: np.ndarray, b: np.ndarray, kind: str, gamma: float, degree: int = 3) -> np.ndarray:
-    if kind == "linear":
+    if kind in ("linear", "precomputed"):
         return a @ b.T
     if kind == "poly":
         return (gamma * a @ b.T) ** degree
@@ -249,17 +370,36 @@ def smo(k: np.ndarray, y: np.ndarray, c: float = 1.0, eps: float = 1e-3, rounds:
     return a * y, bias
 
 
+def some_rows(df: DataFrame, most_rows: int, label: str, order: str) -> DataFrame:
+    """At most most_rows rows, of each label its share: those whose hash is least, so not the first of a sorted table."""
+    counts = {r[0]: r[1] for r in df.groupBy(F.col(label).cast("double")).agg(F.count(F.lit(1))).collect()}
+    total = sum(counts.values())
+    if total <= most_rows:
+        return df
+    share = {y: max(1, n * most_rows // total) for y, n in counts.items()}
+    least = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(order), order))
+    bound = F.element_at(F.create_map(*[F.lit(float(x)) for kv in share.items() for x in kv]), F.col(label).cast("double"))
+    return df.withColumn("at_", least).filter(F.col("at_") <= bound).drop("at_")
+
+
 def train_kernel(df: DataFrame, c: float = 1.0, kind: str = "rbf", gamma: float | None = None, most_rows: int = 5000, label: str = "label", vec: str = "vec", order: str = "id") -> dict[float, Kernel]:
-    """One-vs-rest machines by label, on at most most_rows rows (the first in order): a Gram matrix's bound."""
-    rows = df.select(F.col(order).alias("o"), F.col(label).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("x")).orderBy("o").limit(most_rows).collect()
+    """One-vs-rest machines by label, on at most most_rows rows, drawn by hash within each label: a Gram matrix's bound.
+
+    kind "precomputed" takes vec as a row of the kernel matrix, its columns the
+    training rows in order; then all rows are used.
+    """
+    some = df if kind == "precomputed" else some_rows(df, most_rows, label, order)
+    rows = some.select(F.col(order).alias("o"), F.col(label).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("x")).orderBy("o").collect()
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    if kind == "precomputed" and x.shape != (len(x), len(x)):
+        raise ValueError("a precomputed kernel is square")
     g = gamma or 1 / x.shape[1]
-    k = gram(x, x, kind, g)
+    k = x if kind == "precomputed" else gram(x, x, kind, g)
     out = {}
     for t in dict.fromkeys(y.tolist()):
         alphas, bias = smo(k, np.where(y == t, 1.0, -1.0), c)
-        live = np.abs(alphas) > 1e-8
-        out[t] = Kernel(x[live], alphas[live], bias, kind, g)
+        live = np.ones(len(alphas), bool) if kind == "precomputed" else np.abs(alphas) > 1e-8
+        out[t] = Kernel(np.eye(len(x)) if kind == "precomputed" else x[live], alphas[live], bias, kind, g)
     return out
 
 

@@ -51,22 +51,28 @@ def soft_assignment(vec: Column, centers: np.ndarray) -> Column:
     return V.l2_unit(raw)
 
 
+def drawn(seed: int, vec: str = "vec") -> Column:
+    """A number in (0, 1) from the hash of a vector and the seed."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), vec), 11) + 0.5) / float(1 << 53)
+
+
 def kmeans(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-3, rounds: int = 50, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
     """Lloyd's centers and their sizes. An error if there are fewer points than centers.
 
     Seeds are drawn in turn with probability by squared distance from those
-    before, by keyed exponential draws in Spark, so one row reaches the driver
-    each time. An empty cluster takes the point farthest from its center.
+    before, by exponential draws in Spark, so one row reaches the driver each
+    time. A draw depends on the seed and the vector alone, never on partitions;
+    equal vectors draw alike. An empty cluster takes the point farthest from its center.
     Stops when the distortion changes by less than threshold of itself, or is 0.
     """
     rows = df.select(F.col(vec).cast("array<double>").alias("vec"))
     if rows.limit(k).count() < k:
         raise ValueError("there are fewer points than clusters")
-    u = F.rand(seed)
-    centers = np.array([rows.withColumn("u", u).orderBy("u").first()["vec"]])
+    centers = np.array([rows.agg(F.min_by("vec", F.struct(drawn(seed), "vec")).alias("v")).first()["v"]])
     for n in range(1, k):
-        far = assigned(rows, centers).withColumn("w", -F.log(F.rand(seed + n)) / F.when(F.col("d2") > 0, F.col("d2")))
-        pick = far.agg(F.min_by("vec", "w").alias("v"), F.max_by("vec", "d2").alias("f")).first()
+        far = assigned(rows, centers)
+        w = -F.log(drawn(seed + n)) / F.when(F.col("d2") > 0, F.col("d2"))
+        pick = far.agg(F.min_by("vec", F.when(w.isNotNull(), F.struct(w, "vec"))).alias("v"), F.max_by("vec", F.struct("d2", "vec")).alias("f")).first()
         centers = np.vstack([centers, pick.v or pick.f])
     last, sizes = math.inf, np.zeros(k)
     for _ in range(rounds):
@@ -80,7 +86,7 @@ def kmeans(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-3, rounds
         if not distortion or abs((last - distortion) / distortion) < threshold:
             break
         for e in np.flatnonzero(sizes == 0):
-            new[e] = now.agg(F.max_by("vec", "d2").alias("f")).first().f
+            new[e] = now.agg(F.max_by("vec", F.struct("d2", "vec")).alias("f")).first().f
         centers, last = new, distortion
     return centers, sizes
 
@@ -111,26 +117,26 @@ def vlad(df: DataFrame, centers: np.ndarray, keys: list[str], vec: str = "vec")
     return power_normalised(flat_vectors(sums, keys, centers.size), keys)
 
 
-def densities(vec: Column, w: np.ndarray, mu: np.ndarray, var: np.ndarray) -> Column:
-    """[w_k N(vec; mu_k, var_k)] of a diagonal mixture."""
+def log_densities(vec: Column, w: np.ndarray, mu: np.ndarray, var: np.ndarray) -> Column:
+    """[ln(w_k N(vec; mu_k, var_k))] of a diagonal mixture."""
     parts = []
     for k in range(len(w)):
         log_norm = math.log(w[k]) - 0.5 * float(np.sum(np.log(2 * math.pi * var[k])))
         d = F.zip_with(F.zip_with(vec, literal(mu[k]), lambda x, m: (x - m) * (x - m)), literal(var[k]), lambda q, s: q / s)
-        parts.append(F.exp(F.lit(log_norm) - 0.5 * V.total(d)))
+        parts.append(F.lit(log_norm) - 0.5 * V.total(d))
     return F.array(*parts)
 
 
 def responsibilities(df: DataFrame, w: np.ndarray, mu: np.ndarray, var: np.ndarray, vec: str = "vec") -> DataFrame:
-    """df with a (shares of components, zeros where no component reaches) and p (the density)."""
-    out = df.withColumn("d_", densities(F.col(vec).cast("array<double>"), w, mu, var))
-    out = out.withColumn("p", V.total(F.col("d_")))
-    return out.withColumn("a", F.transform("d_", lambda x: F.when(F.col("p") > 0, x / F.col("p")).otherwise(0.0))).drop("d_")
+    """df with a (shares of components) and ll (the log density). Densities stand over the greatest, so far points don't underflow."""
+    out = df.withColumn("d_", log_densities(F.col(vec).cast("array<double>"), w, mu, var)).withColumn("top_", F.array_max("d_"))
+    out = out.withColumn("e_", F.transform("d_", lambda x: F.exp(x - F.col("top_")))).withColumn("t_", V.total(F.col("e_")))
+    return out.withColumn("a", F.transform("e_", lambda x: x / F.col("t_"))).withColumn("ll", F.col("top_") + F.log("t_")).drop("d_", "top_", "e_", "t_")
 
 
 def average_log_likelihood(df: DataFrame) -> DataFrame:
-    """From responsibilities(): the mean of ln p."""
-    return df.agg(F.avg(F.log(F.when(F.col("p") > 0, F.col("p")))).alias("avg_ll"))
+    """From responsibilities(): the mean log density."""
+    return df.agg(F.avg("ll").alias("avg_ll"))
 
 
 def em_sums(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -162,17 +168,24 @@ def gmm(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-4, rounds: i
     model = (w / w.sum(), *draw(k))
     last, before = -math.inf, model
     for _ in range(rounds):
-        ll = average_log_likelihood(responsibilities(df, *model, vec)).first()[0]
-        ll = -math.inf if ll is None else ll
+        # One pass: every row's log density rides along with its sums.
+        shares = responsibilities(df, *model, vec)
+        by = shares.select("ll", F.posexplode("a").alias("k", "r"), F.col(vec).cast("array<double>").alias("vec")).select("ll", "k", "r", F.posexplode("vec").alias("i", "x"))
+        r, x = F.col("r"), F.col("x")
+        got = by.groupBy("k", "i").agg(F.sum(r).alias("n"), F.sum(r * x).alias("s1"), F.sum(r * x * x).alias("s2"), F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("rows")).collect()
+        total = max((g["rows"] for g in got), default=0)
+        ll = got[0].ll / total if got and math.isfinite(got[0].ll) else -math.inf
         if ll < last:
             return before
         if math.isfinite(last) and abs((ll - last) / ll) < threshold:
             break
         before, last = model, ll
-        w, mu, var = np.zeros(k), np.zeros((k, len(lo))), np.zeros((k, len(lo)))
-        for r in em_step(df, *model, vec).collect():
-            w[r.k], mu[r.k, r.i], var[r.k, r.i] = r.weight, r.mu if r.mu is not None else math.nan, r["var"] if r["var"] is not None else math.nan
-        bad = ~np.isfinite(mu).all(1) | (w <= 0) | (var <= floor / 1e4).all(1)
+        w, mu, var = np.zeros(k), np.full((k, len(lo)), math.nan), np.full((k, len(lo)), math.nan)
+        for g in got:
+            w[g.k] = g.n / total
+            if g.n > 0:
+                mu[g.k, g.i], var[g.k, g.i] = g.s1 / g.n, g.s2 / g.n - (g.s1 / g.n) ** 2
+        bad = ~np.isfinite(mu).all(1) | (w <= 0) | (np.nan_to_num(var) <= floor / 1e4).all(1)
         mu[bad], var[bad] = draw(int(bad.sum()))
         w[bad] = 1 / k
         model = (w / w.sum(), mu, np.maximum(var, floor))

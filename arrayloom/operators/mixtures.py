@@ -146,17 +146,28 @@ def feature_mixtures(df: DataFrame, k: int, seed: int = 1, rounds: int = 50, thr
 
 
 def axes_encoding(df: DataFrame, keys: list[str], k: int, vec: str = "vec") -> DataFrame:
-    """By bag: its k principal axes, joined, over length. A bag is one task's group: bags are an image's points."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(b["x"].to_list())
-        z = x - x.mean(axis=0)
-        _, axes = np.linalg.eigh(z.T @ z / len(z))
-        rows = axes.T[::-1][:k]
-        rows = rows * np.sign(rows[np.arange(len(rows)), np.abs(rows).argmax(axis=1)])[:, None]
-        v = rows.ravel()
-        n = np.linalg.norm(v)
-        return pd.DataFrame([[*b[keys].iloc[0], v / n if n else v]], columns=[*keys, "vec"])
+    """By bag: its k principal axes, joined, over length.
+
+    Products of elements are summed by bag as they are shuffled, so a bag is
+    never in one task; only its matrix is.
+    """
+    x = df.select(*keys, F.col(vec).cast("array<double>").alias("x"))
+    pairs = x.select(*keys, "x", F.posexplode("x").alias("i", "a")).select(*keys, "i", "a", F.posexplode("x").alias("j", "b")).filter("j >= i")
+    cells = pairs.groupBy(*keys, "i", "j").agg((F.avg(F.col("a") * F.col("b")) - F.avg("a") * F.avg("b")).alias("c"))
+    bags = cells.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "c")).alias("cells"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for cells in b["cells"]:
+                i, j, c = (np.array([x[name] for x in cells]) for name in "ijc")
+                m = np.zeros((i.max() + 1, j.max() + 1))
+                m[i, j] = m[j, i] = c
+                axes = np.linalg.eigh(m)[1].T[::-1][:k]
+                axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+                length = np.linalg.norm(axes)
+                out.append(axes.ravel() / length if length else axes.ravel())
+            yield b[keys].assign(vec=out)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    return df.select(*keys, F.col(vec).cast("array<double>").alias("x")).groupBy(*keys).applyInPandas(run, f"{kinds}, vec array<double>")
+    return bags.mapInPandas(run, f"{kinds}, vec array<double>")

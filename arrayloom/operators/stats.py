@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -93,17 +95,28 @@ def feature_bounds(df: DataFrame, vec: str) -> DataFrame:
 
 
 def covariance(df: DataFrame, vec: str, n: int) -> DataFrame:
-    """(i, j, c) of the population covariance, i <= j, in one aggregate over rows.
+    """(i, j, c) of the population covariance, i <= j.
 
-    A row's products are exploded within its task and summed before the shuffle,
-    which so carries at most n(n+1)/2 rows from each task.
+    Each task sums its batches' outer products about a common shift (a rough
+    mean, so that no digits are lost), and gives n rows; Spark adds them.
     """
-    means = df.agg(*[F.avg(F.get(vec, k).cast("double")).alias(f"m{k}") for k in range(n)])
-    mean = means.select(F.array(*[f"m{k}" for k in range(n)]).alias("m")).scalar()
-    centred = df.select(F.col(vec).cast("array<double>").alias("v"), mean.alias("m")).select(F.zip_with("v", "m", lambda x, m: x - m).alias("z"))
-    left = centred.select("z", F.posexplode("z").alias("i", "a"))
-    both = left.select("i", "a", F.posexplode("z").alias("j", "b")).filter("j >= i")
-    return both.groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / F.count(F.lit(1))).alias("c"))
+    shift = df.select(F.col(vec).cast("array<double>").alias("v")).limit(100).collect()
+    about = np.mean([r.v for r in shift], axis=0) if shift else np.zeros(n)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, first, second = 0, np.zeros(n), np.zeros((n, n))
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_list()) - about
+                rows, first, second = rows + len(x), first + x.sum(axis=0), second + x.T @ x
+        if rows:
+            yield pd.DataFrame({"i": np.arange(n), "rows": rows, "a": first, "b": [first] * n, "ab": list(second)})
+
+    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(run, "i int, rows long, a double, b array<double>, ab array<double>")
+    # Every cell is a row, so Spark adds before and after the shuffle.
+    cells = parts.select("i", "rows", "a", F.posexplode(F.arrays_zip("b", "ab")).alias("j", "z")).filter("j >= i")
+    sums = cells.groupBy("i", "j").agg(F.sum("rows").alias("rows"), F.sum("a").alias("a"), F.sum("z.b").alias("b"), F.sum("z.ab").alias("ab"))
+    return sums.select("i", "j", (F.col("ab") / F.col("rows") - F.col("a") / F.col("rows") * F.col("b") / F.col("rows")).alias("c"))
 
 
 def as_matrix(cov: DataFrame, n: int) -> np.ndarray:

@@ -121,7 +121,7 @@ def take(spark, d):
 
 @query("SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id OFFSET 400")
 def skip(spark, d):
-    return vectors(spark, d).select("id", "label").orderBy("id").offset(400)
+    return cells.after(vectors(spark, d).select("id", "label"), 400, "id")
 
 
 @query(EM + "SELECT id, round(list_max(v), 6) AS top, (list_position(v, list_max(v)) - 1)::INT AS at, round(list_min(v), 6) AS low, (list_position(v, list_min(v)) - 1)::INT AS low_at FROM e")
@@ -141,11 +141,11 @@ def train_split(spark, d):
     return vectors(spark, d).select("id", (F.col("id") < 400).alias("train"))
 
 
-@query(PX + "SELECT label, count(*) AS n, round(sum(v), 4) AS s FROM px GROUP BY label")
+@query(PX + "SELECT label, (row_number() OVER (PARTITION BY label ORDER BY id, i) - 1)::BIGINT AS at, round(v, 6) AS v FROM px")
 def label_concat(spark, d):
-    """Vectors of a label concatenated in order of id, by summary."""
-    flat = vectors(spark, d).groupBy("label").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda s: s["v"])).alias("v"))
-    return flat.select("label", F.size("v").cast("long").alias("n"), F.round(V.total(F.col("v")), 4).alias("s"))
+    """Vectors of a label joined in order of id, as rows of position and value: no label's vectors stand in one row."""
+    df = vectors(spark, d).select("id", "label", F.col("v").alias("vec"))
+    return cells.joined_by(df, "label", "id").select("label", "at", r6("v").alias("v"))
 
 
 @query(EM + "SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM e")

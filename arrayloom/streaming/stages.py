@@ -20,15 +20,20 @@ def through(stream: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> Dat
     return stream
 
 
+def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    """stream with its event time as a timestamp (one without a zone is read in the session's) and a watermark on it."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def windowed_moments(stream: DataFrame, ts: str, x: Column, window: str, late: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """By window of event time and keys: count, mean and variance; rows later than `late` are dropped."""
-    w = stream.withWatermark(ts, late).groupBy(F.window(ts, window), *keys)
+    w = timed(stream, ts, late).groupBy(F.window(ts, window), *keys)
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
 
 
 def running_histogram(stream: DataFrame, ts: str, bin_: Column, window: str, late: str) -> DataFrame:
     """By window and bin: counts."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, window), bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return timed(stream, ts, late).groupBy(F.window(ts, window), bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def written(stream: DataFrame, path: str, checkpoint: str):

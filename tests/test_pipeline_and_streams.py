@@ -6,21 +6,28 @@ from arrayloom.plans.pipeline import Pipeline, PyramidClassifier
 from arrayloom.streaming import stages
 
 
-def stacks(spark, n):
-    rng = np.random.default_rng(5)
+def stacks(spark, n, seed=5):
+    """Weak waves by small radii, strong ones by large: both classes have points of both sorts, and differ in which wave leads."""
+    rng = np.random.default_rng(seed)
     t, r = np.meshgrid(np.arange(16), np.arange(16), indexing="ij")
     rows = []
     for i in range(n):
         k = i % 2
-        a = np.cos(2 * np.pi * ((2 * t if k else 3 * r) / 16) + rng.random() * 6) + rng.normal(size=(16, 16)) * 0.1
+        lead, other = np.cos(2 * np.pi * 2 * t / 16 + rng.random() * 6), np.cos(2 * np.pi * 3 * r / 16 + rng.random() * 6)
+        a = np.where(r < 8, 1.0, 4.0) * ((lead, other)[k] + 0.5 * (other, lead)[k]) + rng.normal(size=(16, 16)) * 0.05
         rows.append((i, k, 1, 16, 16, a.ravel().tolist()))
     return spark.createDataFrame(rows, "id long, label int, channels int, rows int, cols int, data array<double>")
 
 
 def test_pyramid_classifier(spark):
-    model = PyramidClassifier(pyramids.Pyramid(16, 16, 2, 2, 4), clusters=3).fit(stacks(spark, 24))
-    assert model.score(stacks(spark, 12)).first()[0] > 90
-    assert len(model.predict(stacks(spark, 2)).first()["vec"]) == (3 + 2) * 3
+    """Right on images it hasn't seen, and the same model however the rows are dealt."""
+    models = [PyramidClassifier(pyramids.Pyramid(16, 16, 2, 2, 4), clusters=3).fit(stacks(spark, 24).repartition(n)) for n in (1, 4, 8)]
+    assert models[0].score(stacks(spark, 12)).first()[0] > 90
+    assert models[0].score(stacks(spark, 40, seed=6)).first()[0] > 90
+    for m in models[1:]:
+        assert all(np.allclose(m.codebooks[k], models[0].codebooks[k]) for k in m.codebooks)
+        assert np.allclose(m.model.weights, models[0].model.weights, atol=1e-6)
+    assert len(models[0].predict(stacks(spark, 2)).first()["vec"]) == (3 + 2) * 3
 
 
 def test_pipeline_keeps_stages(spark):
