@@ -101,21 +101,41 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").filter(both >= least * (F.size("u_") + F.size("v_") - both)).select("u", "v")
 
 
+def hubs_of(member: DataFrame) -> DataFrame:
+    """(t, k, a, b, hub) of the buckets with two digests or more: the least, the greatest, and the digest whose own buckets hold most in all.
+
+    Of many copies with small changes, the hub is the text that they stem from, or that nearest to it.
+    """
+    sized = staged(member.groupBy("t", "k").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b"), "buckets")
+    within = member.join(sized, ["t", "k"])
+    weight = staged(within.groupBy("digest").agg(F.sum("n").alias("weight")), "weights")
+    best = within.select("t", "k", "digest").join(weight, "digest").groupBy("t", "k").agg(F.max(F.struct("weight", "digest")).alias("x"))
+    return staged(sized.join(best.select("t", "k", F.col("x.digest").alias("hub")), ["t", "k"]).select("t", "k", "a", "b", "hub"), "hubs")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(digest, own): how many of a set's shingles are in no other set. Sets without such have no row."""
+    holders = sets.select("digest", F.explode("set").alias("h")).groupBy("h").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    return holders.filter("a = b").groupBy(F.col("a").alias("digest")).agg(F.count(F.lit(1)).alias("own"))
+
+
 def jaccard_roots(texts: DataFrame, known: DataFrame, n: int, least: float) -> DataFrame:
     """(node, root) for the digests that links connect: those known (u, v), and pairs of texts (digest, t_) with at least that index.
 
-    As in simhash.linked, bucket members are first held against the bucket's
-    least and greatest; then, in buckets that aren't of one component, members
-    outside the least component against all of other components.
+    Bucket members are first held against the bucket's least, greatest and hub.
+    Then, in buckets that aren't of one component, members outside the least
+    component are held against all of other components, but for pairs that can't
+    reach the index: what two sets share is at most either's size less the
+    shingles that only it has. A pair is taken in the first band that it shares.
     """
     hashed = texts.select("digest", hashed_words(F.col("t_")).alias("w_"))
     keys = staged(hashed.mapInArrow(in_slices(keys_of(n), "keys"), "digest long, keys array<long>"), "bands")
     member = keys.select("digest", F.posexplode("keys").alias("t", "k"))
-    ends = staged(member.groupBy("t", "k").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a < b"), "buckets")
-    member = staged(member.join(ends, ["t", "k"]).select("t", "k", "digest", "a", "b"), "members")
+    ends = hubs_of(member)
+    member = staged(member.join(ends, ["t", "k"]).select("t", "k", "digest", "a", "b", "hub"), "members")
     pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     star = lambda end: member.filter(F.col("digest") != F.col(end)).select(*pair(F.col("digest"), F.col(end)))
-    pairs = staged(star("a").union(star("b")).distinct(), "pairs")
+    pairs = staged(star("a").union(star("b")).union(star("hub")).distinct(), "pairs")
     wanted = staged(member.select(F.col("digest").alias("d_")).distinct(), "wanted")
     some = texts.join(wanted, F.col("digest") == F.col("d_"), "left_semi").select("digest", hashed_words(F.col("t_")).alias("w_"))
     sets = some.mapInArrow(in_slices(sets_of(n), "set"), "digest long, set array<long>")
@@ -125,9 +145,19 @@ def jaccard_roots(texts: DataFrame, known: DataFrame, n: int, least: float) -> D
     found = member.select("t", "k", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     found = staged(found, "known")
     mixed = staged(found.groupBy("t", "k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b"), "mixed")
-    mixed = staged(found.join(mixed, ["t", "k"]), "mixed")
+    mixed = staged(found.join(mixed, ["t", "k"]).select("t", "k", "digest", "root", "a"), "mixed")
+    still = staged(mixed.select(F.col("digest").alias("d_")).distinct(), "still")
+    open_sets = sets.join(still, F.col("digest") == F.col("d_"), "left_semi")
+    own = staged(own_shingles(open_sets), "own").withColumnRenamed("digest", "o_")
+    about = open_sets.join(own, F.col("digest") == F.col("o_"), "left").select(F.col("digest").alias("d_"), F.size("set").alias("size"), (F.size("set") - F.coalesce("own", F.lit(0))).alias("shared"))
+    about = about.join(keys.dropDuplicates(["digest"]).withColumnRenamed("digest", "k_"), F.col("d_") == F.col("k_")).drop("k_")
+    mixed = mixed.join(staged(about, "about"), F.col("digest") == F.col("d_")).drop("d_")
+    # A row that shares less than the index of its own size has no partner at all.
+    mixed = staged(mixed.filter(F.col("shared") >= least * F.col("size")), "open")
     x, y = mixed.filter("root > a").alias("x"), mixed.alias("y")
-    differ = (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.root") > F.col("y.root"))
+    enough = F.least("x.shared", "y.shared") * (1 + least) >= least * (F.col("x.size") + F.col("y.size"))
+    first = F.array_position(F.zip_with("x.keys", "y.keys", lambda p, q: p == q), True) == F.col("x.t") + 1
+    differ = (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.root") > F.col("y.root")) & enough & first
     rest = staged(x.join(y, differ).select(*pair(F.col("x.digest"), F.col("y.digest"))).distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
     more = staged(alike(rest, sets, least), "more")
     return staged(components(edges.union(more)), "roots") if not more.isEmpty() else roots.withColumnRenamed("digest", "node")
