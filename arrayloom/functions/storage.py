@@ -27,3 +27,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def opened(path: str, mode: str):
+    """A stream of any file system that pyarrow knows by the path's scheme; Hadoop's names for object stores are translated."""
+    from pyarrow import fs
+
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://"), ("gs://", "gcs://"), ("abfss://", "abfs://")):
+        if path.startswith(theirs):
+            path = ours + path[len(theirs) :]
+    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return system.open_output_stream(inner) if mode == "w" else system.open_input_stream(inner)

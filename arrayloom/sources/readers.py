@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import opened, staged
+
 IMAGE = "path string, pos long, label int, channels int, rows int, cols int, data array<double>"
 
 
@@ -82,17 +84,35 @@ def encode_labelled(rows: list[tuple]) -> bytes:
     return out.getvalue()
 
 
+def encoded_files(df: DataFrame, encode, per_file: int = 1000, order: str = "id") -> DataFrame:
+    """file, content: rows dealt by number, per_file to a file, through encode(rows of a pandas frame in order). A file is one small group."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(order)
+        return pd.DataFrame({"file": [f"part-{int(b['file_'].iloc[0]):09d}"], "content": [encode(b)]})
+
+    return df.withColumn("file_", F.floor(F.col(order) / per_file)).groupBy("file_").applyInPandas(run, "file string, content binary")
+
+
 def labelled_files(df: DataFrame, per_file: int = 1000) -> DataFrame:
-    """file, content: images encoded, per_file at most in one; for a writer of binary tables or files."""
+    """file, content: images in the labelled-array format."""
+    image = lambda r: np.asarray(r.data, dtype=float).reshape(r.channels, r.rows, r.cols)
+    return encoded_files(df.select("id", "label", "channels", "rows", "cols", "data"), lambda b: encode_labelled([(int(r.label), image(r)) for r in b.itertuples()]), per_file)
+
+
+def save_files(files: DataFrame, folder: str, suffix: str = "") -> DataFrame:
+    """Writes each row (file, content) as a file of folder, from its task; returns path and bytes. A task that runs again writes the same file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), per_file):
-                part = b.iloc[at : at + per_file]
-                rows = [(int(r.label), np.asarray(r.data, dtype=float).reshape(r.channels, r.rows, r.cols)) for r in part.itertuples()]
-                yield pd.DataFrame({"file": [f"part-{part['id'].iloc[0]}"], "content": [encode_labelled(rows)]})
+            paths = [f"{folder}/{name}{suffix}" for name in b["file"]]
+            for path, content in zip(paths, b["content"], strict=True):
+                with opened(path, "w") as f:
+                    f.write(content)
+            yield pd.DataFrame({"path": paths, "bytes": [len(c) for c in b["content"]]})
 
-    return df.select("id", "label", "channels", "rows", "cols", "data").mapInPandas(run, "file string, content binary")
+    files.sparkSession.createDataFrame([], "x int").write.mode("append").parquet(f"{folder}/made")  # makes the folder through Spark
+    return staged(files.mapInPandas(run, "path string, bytes long"), "files")
 
 
 def stl_images(content: bytes) -> Iterator[tuple]:
@@ -128,6 +148,11 @@ def characters(content: bytes) -> Iterator[tuple]:
         at += size
 
 
+def encode_characters(rows: list[tuple[int, np.ndarray]]) -> bytes:
+    """(tag, image of 0..255 as rows x columns) in the format of characters()."""
+    return b"".join(struct.pack("<IHHH", 10 + a.size, tag, a.shape[1], a.shape[0]) + (255 - a).astype(np.uint8).tobytes() for tag, a in rows)
+
+
 def read_characters(spark: SparkSession, paths: str | list[str], tags: DataFrame | None = None) -> DataFrame:
     """path, pos, tag, width, height, data; tags (tag, label) maps tags to labels by a join."""
     df = decoded(spark, paths, characters, "path string, pos long, tag int, width int, height int, data binary")
@@ -219,8 +244,12 @@ def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def class_folders(spark: SparkSession, glob: str) -> DataFrame:
     """path and label of files in folders that stand for classes."""
-    files = spark.read.format("binaryFile").load(glob).select("path")
-    return files.withColumn("label", F.element_at(F.split("path", "/"), -2))
+    return labelled_by_folder(spark.read.format("binaryFile").load(glob).select("path"))
+
+
+def labelled_by_folder(paths: DataFrame) -> DataFrame:
+    """paths (a column path) with label: the name of the folder that the file is in."""
+    return paths.withColumn("label", F.element_at(F.split("path", "/"), -2))
 
 
 def half_split(df: DataFrame, index: str, half: int) -> DataFrame:
@@ -256,6 +285,17 @@ def sparse_characters(content: bytes) -> Iterator[tuple]:
         at += size
 
 
+def encode_sparse_characters(rows: list[tuple[int, np.ndarray]]) -> bytes:
+    """(tag, image of 0..255) in the format of sparse_characters(): the nonzero pixels."""
+    out = []
+    for tag, a in rows:
+        pairs = np.zeros(np.count_nonzero(a), np.dtype([("i", "<u2"), ("v", "u1")]))
+        pairs["i"] = np.flatnonzero(a)
+        pairs["v"] = a.ravel()[pairs["i"]]
+        out.append(struct.pack("<IHHH", 10 + pairs.nbytes, tag, a.shape[1], a.shape[0]) + pairs.tobytes())
+    return b"".join(out)
+
+
 def read_sparse_characters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, pos, tag, width, height, i, v."""
     return decoded(spark, paths, sparse_characters, "path string, pos long, tag int, width int, height int, i array<int>, v array<double>")
