@@ -78,12 +78,6 @@ def _bank() -> filters.Bank:
     return filters.Bank("gaussian", 2.0, (0.0, 1.0), (0, 1))
 
 
-@query()
-def composite_bank(spark, d):
-    bank = filters.Composite(_bank(), ((0.5, 0.0), (0.5, 1.0)), ((0.5, 0.5),))
-    return filters.composite_features(images(spark, d), bank).select("id", "label", F.size("vec").alias("n"), _sum().alias("s"))
-
-
 @query()
 def composite_phases(spark, d):
     return filters.composite_features(images(spark, d), filters.Composite(filters.Bank("gaussian", 2.0, (0.0, 1.0), (1, 2)), grid=True)).select("id", F.size("vec").alias("n"), _sum().alias("s"))
@@ -95,22 +89,6 @@ def scattering_descriptors(spark, d):
     return out.select("id", "point", F.size("vec").alias("n"), _sum().alias("s"))
 
 
-@query()
-def magnitude_points(spark, d):
-    return filters.magnitude_points(images(spark, d), _bank(), border=2, step=2).select("id", "point", F.size("vec").alias("n"), _sum().alias("s"))
-
-
-@query()
-def ring_groups(spark, d):
-    ring = filters.Bank("ring", 0.5, (0.0,), (0, 1), shifts=(1.5, 3.0))
-    return filters.magnitude_points(images(spark, d), ring, border=3).select("id", "point", F.size("vec").alias("n"), _sum().alias("s"))
-
-
-@query()
-def pixel_descriptors(spark, d):
-    return filters.pixel_features(images(spark, d), 2).select("id", "point", _sum().alias("s"))
-
-
 @query()
 def feature_mixtures(spark, d):
     return mixtures.feature_mixtures(vectors(spark, d).select(F.slice("v", 1, 3).alias("v")), 2, seed=1, rounds=3, vec="v")

@@ -126,12 +126,6 @@ def gmm_train(spark, d):
     return spark.createDataFrame([(i, float(a), [float(x) for x in m], [float(x) for x in s]) for i, (a, m, s) in enumerate(zip(w, mu, var, strict=True))], "k int, weight double, mu array<double>, variance array<double>")
 
 
-@query()
-def pca_train(spark, d):
-    _, rows, values = stats.pca(vectors(spark, d), "v", 64, 5)
-    return spark.createDataFrame([(i, float(v), [float(x) for x in r]) for i, (r, v) in enumerate(zip(rows, values, strict=True))], "component int, variance double, loading array<double>")
-
-
 @query()
 def svm_train(spark, d):
     """L2-regularised squared-hinge machines on all vectors, and the share they get right."""
@@ -151,27 +145,12 @@ def _summary(df, *keys):
     return df.select(*keys, "rows", "cols", F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x), 6).alias("s"))
 
 
-@query()
-def resize(spark, d):
-    return _summary(geometry.stage(images(spark, d), lambda a, _: geometry.resize_longest(a, 16, 1.0)), "id")
-
-
-@query()
-def rotate(spark, d):
-    return _summary(geometry.stage(images(spark, d), lambda a, _: [geometry.rotated(a, x) for x in geometry.angles_of(90)]), "id")
-
-
 @query()
 def augment(spark, d):
     how = geometry.Augmentation(8, 8, 180, (0.8, 1.2), (0.5, 1.5), (0.0, 0.2))
     return _summary(geometry.augmented(images(spark, d), how, seed=5), "id")
 
 
-@query()
-def log_polar(spark, d):
-    return _summary(geometry.log_polar_stack(images(spark, d), 16, 8, [(3.5, 3.5), (4.0, 4.0)], 3.5), "id", "point")
-
-
 def _stacks(spark, d):
     return geometry.log_polar_stack(images(spark, d), 16, 16, [(3.5, 3.5)], 3.5).drop("point")
 
