@@ -206,3 +206,14 @@ def fisher_vectors(df: DataFrame, w: np.ndarray, mu: np.ndarray, var: np.ndarray
     at = F.col("k") * dims + F.col("i")
     sums = g.select(*keys, F.inline(F.array(F.struct(at.alias("j"), by_mean.alias("s")), F.struct((at + mu.size).alias("j"), by_var.alias("s")))))
     return power_normalised(flat_vectors(sums, keys, 2 * mu.size), keys)
+
+
+def layered_fisher_vectors(layers: list[DataFrame], models: list[tuple], keys: list[str], vec: str = "vec") -> DataFrame:
+    """By bag: each layer's Fisher vector (over its length), end to end. A bag without points in a layer has zeros there."""
+    parts = None
+    for n, (df, (w, mu, var)) in enumerate(zip(layers, models, strict=True)):
+        v = fisher_vectors(df, w, mu, var, keys, vec).select(*keys, F.lit(n).alias("layer"), "vec")
+        parts = v if parts is None else parts.union(v)
+    by = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("layer", "vec"))).alias("m"))
+    each = [F.coalesce(F.try_element_at("m", F.lit(n)), F.array_repeat(F.lit(0.0), 2 * mu.size)) for n, (_, mu, _) in enumerate(models)]
+    return by.select(*keys, F.flatten(F.array(*each)).alias("vec"))

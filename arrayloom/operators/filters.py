@@ -230,6 +230,16 @@ def magnitude_points(df: DataFrame, bank: Bank, border: int = 0, step: int = 1,
     return mapped(df, f, POINTS)
 
 
+def grid_descriptors(df: DataFrame, bank: Bank, ys: list[int], xs: list[int]) -> DataFrame:
+    """Not invariant: at each grid centre the magnitudes of all filters and channels, over length."""
+
+    def f(image: np.ndarray) -> np.ndarray:
+        m = np.abs(np.concatenate(grouped_responses(image, bank)))[:, ys][:, :, xs]
+        return unit(m.reshape(len(m), -1).T)
+
+    return mapped(df, f, POINTS)
+
+
 def pixel_features(df: DataFrame, step: int = 1) -> DataFrame:
     """Channel vectors of every step-th pixel, over length."""
     return mapped(df, lambda a: descriptors(a, step), POINTS)
