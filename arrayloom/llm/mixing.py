@@ -24,8 +24,11 @@ def quotas(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, fra
     """sizes (source, n_rows) with the quota of each source, at least 1.
 
     Weights are given by source (others weigh 1), or n_rows ** alpha. A quota is
-    the weight's share of `frame`, rounded: that is the weight's resolution.
+    the weight's share of `frame`, rounded: that is the weight's resolution. A
+    weight that isn't positive is an error, as its rows would have no place.
     """
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights are positive")
     if weights is None:
         weight = F.pow(F.col("n_rows").cast("double"), F.lit(float(alpha)))
     else:
@@ -96,8 +99,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
     placed = rows.withColumn("at_", at).join(offsets, ["none_", "name_", "bucket_"])
     placed = placed.withColumn("index_", F.col("before_") + F.col("at_") - 1).withColumn("block_no", F.floor(F.col("index_") / block_rows))
     share = staged(slots.select(F.col("f_").alias("g_"), "quota", "frame").distinct(), "quotas")
-    placed = placed.join(F.broadcast(share), placed["source"].eqNullSafe(share["g_"])).drop("g_")
-    found = placed.join(F.broadcast(slots.drop("quota", "frame")), placed["source"].eqNullSafe(F.col("f_")) & (F.col("block_no") % F.col("quota") == F.col("j_")))
+    placed = placed.join(share, placed["source"].eqNullSafe(share["g_"])).drop("g_")
+    found = placed.join(slots.drop("quota", "frame"), placed["source"].eqNullSafe(F.col("f_")) & (F.col("block_no") % F.col("quota") == F.col("j_")))
     turn = F.floor(F.col("block_no") / F.col("quota"))
     each = F.transform("quotas", lambda a, i: F.least(F.get("sizes", i), (turn * a + F.get("before", i)) * block_rows))
     div = lambda a, b: F.call_function("div", a, b)
@@ -113,9 +116,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
 def in_order(docs: DataFrame, position: str | None = None, **how) -> DataFrame:
     """docs' rows and columns in the order of the mix: partitions, and files written from them, hold it in turn.
 
-    Readers may take files in another order; a column named by `position` keeps the place.
+    Readers may take files in another order; a column named by `position` keeps
+    the place, and replaces one of that name. What odd rows give is as in mixed():
+    every row is there, repeats and nulls as well; an empty table gives no rows.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = max(1, -(-docs.count() // parts))
     out = mixed(docs, **how).withColumn("part_", F.floor(F.col("position") / each).cast("int"))
-    return out.repartitionById(parts, "part_").sortWithinPartitions("position").select("row.*", *[F.col("position").alias(c) for c in [position] if c])
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != position]
+    return out.repartitionById(parts, "part_").sortWithinPartitions("position").select(*kept, *[F.col("position").alias(c) for c in [position] if c])

@@ -1,6 +1,6 @@
 """Secret scans, with parts of credentials linked within scopes.
 
-Strong findings are reported as they are. Weak ones (a bare 40-character token,
+Strong findings are reported as they are. Weak ones (a bare random-looking token,
 an endpoint) are reported only if complementary parts stand in their scope: an
 interval join, within `scope` characters of one text.
 """
@@ -23,8 +23,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Maximal runs of [0-9a-f]+; those too short are left out by the pattern.
 LONG_HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{LEAST['hex']},}}")
-# The patterns of weak findings: a secret's body of just 40 characters, and an endpoint.
-BODY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+# The patterns of weak findings: a secret's body (a whole run of 32 to 88 characters), and an endpoint.
+BODY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,86}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/._~%?&=+-]*")
 #: Kinds in their order within spans; the first three are the base.
 KINDS = ("assign", "access", "hex", "body", "endpoint")
@@ -67,13 +67,13 @@ def weak_with_company(parts: DataFrame, scope: int) -> DataFrame:
     """Of parts (key, kind, start, end), the weak ones that complementary parts stand near.
 
     A body needs an access identifier or an endpoint in its scope; an endpoint
-    needs an access identifier or an assignment. Scopes are joined by bucket of
+    needs an access identifier, an assignment or a body. Scopes are joined by bucket of
     position and its neighbours, as a semi-join: no pairs come out.
     """
     at = F.floor(F.col("start") / scope)
     weak = parts.filter("kind >= 3").select("key", "kind", "start", "end", F.explode(F.array(at - 1, at, at + 1)).alias("bucket"))
-    other = parts.select(F.col("key").alias("key_"), F.col("kind").alias("kind_"), F.col("start").alias("start_"), F.floor(F.col("start") / scope).alias("bucket_")).filter("kind_ <> 2 and kind_ <> 3")
-    fits = ((F.col("kind") == 3) & F.col("kind_").isin(1, 4)) | ((F.col("kind") == 4) & F.col("kind_").isin(0, 1))
+    other = parts.select(F.col("key").alias("key_"), F.col("kind").alias("kind_"), F.col("start").alias("start_"), F.floor(F.col("start") / scope).alias("bucket_")).filter("kind_ <> 2")
+    fits = ((F.col("kind") == 3) & F.col("kind_").isin(1, 4)) | ((F.col("kind") == 4) & F.col("kind_").isin(0, 1, 3))
     near = (F.col("key") == F.col("key_")) & (F.col("bucket") == F.col("bucket_")) & (F.abs(F.col("start") - F.col("start_")) <= scope)
     return weak.join(other, near & fits, "left_semi").select("key", "kind", "start", "end").distinct()
 

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Unicode white space, and the characters below which lower case, composition and classes don't differ between versions of Unicode.
-BLANK = r"\t-\r \x85\xa0  -     　"
+#: Unicode white space.
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters below which lower case, composition and classes don't differ between versions of Unicode.
 PLAIN = re.compile(r"[\x00-\u024f]*")
 #: Postings of more documents than this are dealt by salt.
 LONG, SALTS = 256, 64
@@ -45,12 +46,33 @@ def library(spec: str):
     return out
 
 
+# The only normaliser and pre-tokenizer that Splitter follows, as a tokenizer file states them.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def checked(spec: str) -> dict:
+    """A tokenizer file's content; an error if its texts aren't split as Splitter does it, as counts would be wrong in silence."""
+    file = json.loads(spec)
+    if file.get("normalizer") != NORMALISER or file.get("pre_tokenizer") != PRE_TOKENIZER or file["model"]["type"] != "BPE":
+        raise ValueError("a tokenizer file with another normaliser, pre-tokenizer or model is not supported")
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
+        raise ValueError("added tokens that are normalised, stripped or whole words are not supported")
+    return file
+
+
 class Splitter:
     """Texts to pre-tokens as a tokenizer file's own normaliser and pre-tokenizer give them."""
 
     def __init__(self, spec: str) -> None:
         self.spec = spec
-        special = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        special = [t["content"] for t in checked(spec)["added_tokens"]]
         self.special = set(special)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+")
@@ -227,6 +249,7 @@ def token_counts(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str =
     texts have none. Rows that repeat an id keep their own texts' counts. An
     empty table gives no rows.
     """
+    checked(spec)
     rows = keyed(docs, doc_id, text)
     postings = rows.select("key", "text").mapInArrow(poster(spec), POSTINGS).repartition("token", "salt")
     # The longest posting is carried so that both sides read one exchange.

@@ -42,18 +42,18 @@ def base32_sha1(content: Column) -> Column:
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """pages as records: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    Of payloads of at least least_bytes with one digest and length, the record
+    Of equal payloads (by SHA-256, as SHA-1 has known collisions) of at least least_bytes, the record
     with the smallest page_id is the response and the others revisit it. Rows
     that repeat that id are responses too; so are rows without an id where none
     of the group has one. A null html is an empty payload.
     """
     c = lambda name: pages[f"`{name}`"]
     rows = pages.select(c(page_id).cast("long").alias("page_id"), c(url).cast("string").alias("url"), F.encode(F.coalesce(c(html), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    groups = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = staged(groups.select(F.col("payload_digest").alias("d_"), F.col("payload_bytes").alias("b_"), "first"), "payloads")
-    out = rows.join(groups, (F.col("payload_digest") == F.col("d_")) & (F.col("payload_bytes") == F.col("b_")), "left").drop("d_", "b_")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("sha_", F.sha2("payload", 256))
+    groups = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("sha_").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = staged(groups.select(F.col("sha_").alias("d_"), "first"), "payloads")
+    out = rows.join(groups, F.col("sha_") == F.col("d_"), "left").drop("d_", "sha_")
+    revisit = F.col("first").isNotNull() & (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
 
@@ -85,10 +85,11 @@ def write_record(out: BinaryIO, row: dict) -> int:
 
 
 def opened(path: str, mode: str) -> BinaryIO:
-    """A stream of any file system that pyarrow knows by the path's scheme."""
+    """A stream of any file system that pyarrow knows by the path's scheme; Hadoop's names for object stores are translated."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    scheme, mark, rest = path.partition("://")
+    system, inner = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gs": "gcs", "abfss": "abfs"}.get(scheme, scheme) + mark + rest)
     return system.open_output_stream(inner) if mode == "w" else system.open_input_stream(inner)
 
 
@@ -98,7 +99,8 @@ def writer(folder: str):
         try:
             for batch in batches:
                 for at in range(batch.num_rows):
-                    row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                    row = {c: batch.column(c)[at].as_py() for c in batch.schema.names if c != "payload"}
+                    row["payload"] = batch.column("payload")[at].as_buffer()  # no copy
                     out = out or opened(path, "w")
                     size += write_record(out, row)
                     n += 1
@@ -151,7 +153,7 @@ def chunks_of(f: BinaryIO, size: int = CHUNK) -> Iterator[dict]:
             left -= before + 2
             full = int(http["content-length"]) if "content-length" in http else None
         if kind == "revisit":
-            yield row | {"chunk_no": 0, "payload": b"", "payload_bytes": full, "payload_digest": declared, "last": True, "digest_ok": True}
+            yield row | {"chunk_no": 0, "payload": b"", "payload_bytes": full, "payload_digest": declared, "last": True, "digest_ok": None}
             f.read(left)
             continue
         sha, done, k = hashlib.sha1(), 0, 0
@@ -197,7 +199,15 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, payloads: bool = True
     """The chunk rows of the archives in manifest (a column path). A record's result is its row with last.
 
     An empty payload has one empty chunk. payloads=False leaves the bytes out,
-    with digests and lengths still taken over all of them.
+    with digests and lengths still taken over all of them. digest_ok says, on a
+    record's last row, whether the bytes have the digest that the record states;
+    of a revisit, whether a response with the page_id it names has.
     """
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(parts, "path").mapInArrow(reader(chunk, payloads), CHUNKS)
+    dealt = manifest.select("path").repartition(parts, "path")
+    light = staged(dealt.mapInArrow(reader(chunk, False), CHUNKS), "records")
+    rows = dealt.mapInArrow(reader(chunk, True), CHUNKS) if payloads else light
+    there = light.filter("last and record_type = 'response' and digest_ok").select(F.col("page_id").alias("p_"), F.col("payload_digest").alias("d_"), F.lit(True).alias("ok_")).distinct()
+    revisit = F.col("record_type") == "revisit"
+    found = rows.join(there, revisit & (F.col("refers_to") == F.col("p_")) & (F.col("payload_digest") == F.col("d_")), "left")
+    return found.withColumn("digest_ok", F.when(revisit, F.coalesce("ok_", F.lit(False))).otherwise(F.col("digest_ok"))).drop("p_", "d_", "ok_")
