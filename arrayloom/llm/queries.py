@@ -97,9 +97,7 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix, op3_chat_format,
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return QUERIES | {"pipeline": corpus_pipeline.run}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
