@@ -52,6 +52,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df, which holds some `rows` rows or fewer, in a task (and so a file) for each `each` of them, but never in more than it has."""
+    return df.coalesce(1 + rows // each)
+
+
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
     """df's whole row as the struct `row`, beside the named columns.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, words
+from .common import fitted, staged, words
 from .components import components
 from .simhash import LOWER, UPPER, digest, least_rows, marked
 
@@ -101,16 +101,16 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").filter(both >= least * (F.size("u_") + F.size("v_") - both)).select("u", "v")
 
 
-def hubs_of(member: DataFrame) -> DataFrame:
+def hubs_of(member: DataFrame, kept) -> DataFrame:
     """(t, k, a, b, hub) of the buckets with two digests or more: the least, the greatest, and the digest whose own buckets hold most in all.
 
     Of many copies with small changes, the hub is the text that they stem from, or that nearest to it.
     """
-    sized = staged(member.groupBy("t", "k").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b"), "buckets")
+    sized = kept(member.groupBy("t", "k").agg(F.min("digest").alias("a"), F.max("digest").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b"), "buckets")
     within = member.join(sized, ["t", "k"])
-    weight = staged(within.groupBy("digest").agg(F.sum("n").alias("weight")), "weights")
+    weight = kept(within.groupBy("digest").agg(F.sum("n").alias("weight")), "weights")
     best = within.select("t", "k", "digest").join(weight, "digest").groupBy("t", "k").agg(F.max(F.struct("weight", "digest")).alias("x"))
-    return staged(sized.join(best.select("t", "k", F.col("x.digest").alias("hub")), ["t", "k"]).select("t", "k", "a", "b", "hub"), "hubs")
+    return kept(sized.join(best.select("t", "k", F.col("x.digest").alias("hub")), ["t", "k"]).select("t", "k", "a", "b", "hub"), "hubs")
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -130,30 +130,32 @@ def jaccard_roots(texts: DataFrame, known: DataFrame, n: int, least: float) -> D
     """
     hashed = texts.select("digest", hashed_words(F.col("t_")).alias("w_"))
     keys = staged(hashed.mapInArrow(in_slices(keys_of(n), "keys"), "digest long, keys array<long>"), "bands")
+    rows = keys.count() * BANDS
+    kept = lambda df, name: staged(fitted(df, rows), name)
     member = keys.select("digest", F.posexplode("keys").alias("t", "k"))
-    ends = hubs_of(member)
-    member = staged(member.join(ends, ["t", "k"]).select("t", "k", "digest", "a", "b", "hub"), "members")
+    ends = hubs_of(member, kept)
+    member = kept(member.join(ends, ["t", "k"]).select("t", "k", "digest", "a", "b", "hub"), "members")
     pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     star = lambda end: member.filter(F.col("digest") != F.col(end)).select(*pair(F.col("digest"), F.col(end)))
-    pairs = staged(star("a").union(star("b")).union(star("hub")).distinct(), "pairs")
-    wanted = staged(member.select(F.col("digest").alias("d_")).distinct(), "wanted")
+    pairs = kept(star("a").union(star("b")).union(star("hub")).distinct(), "pairs")
+    wanted = kept(member.select(F.col("digest").alias("d_")).distinct(), "wanted")
     some = texts.join(wanted, F.col("digest") == F.col("d_"), "left_semi").select("digest", hashed_words(F.col("t_")).alias("w_"))
     sets = some.mapInArrow(in_slices(sets_of(n), "set"), "digest long, set array<long>")
     sets = staged(sets.groupBy("digest").agg(F.first("set").alias("set")), "sets")
-    edges = staged(known.union(staged(alike(pairs, sets, least), "links")).distinct(), "edges")
+    edges = kept(known.union(kept(alike(pairs, sets, least), "links")).distinct(), "edges")
     roots = staged(components(edges), "roots").withColumnRenamed("node", "digest")
     found = member.select("t", "k", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    found = staged(found, "known")
-    mixed = staged(found.groupBy("t", "k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b"), "mixed")
-    mixed = staged(found.join(mixed, ["t", "k"]).select("t", "k", "digest", "root", "a"), "mixed")
-    still = staged(mixed.select(F.col("digest").alias("d_")).distinct(), "still")
+    found = kept(found, "known")
+    mixed = kept(found.groupBy("t", "k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b"), "mixed")
+    mixed = kept(found.join(mixed, ["t", "k"]).select("t", "k", "digest", "root", "a"), "mixed")
+    still = kept(mixed.select(F.col("digest").alias("d_")).distinct(), "still")
     open_sets = sets.join(still, F.col("digest") == F.col("d_"), "left_semi")
-    own = staged(own_shingles(open_sets), "own").withColumnRenamed("digest", "o_")
+    own = kept(own_shingles(open_sets), "own").withColumnRenamed("digest", "o_")
     about = open_sets.join(own, F.col("digest") == F.col("o_"), "left").select(F.col("digest").alias("d_"), F.size("set").alias("size"), (F.size("set") - F.coalesce("own", F.lit(0))).alias("shared"))
     about = about.join(keys.dropDuplicates(["digest"]).withColumnRenamed("digest", "k_"), F.col("d_") == F.col("k_")).drop("k_")
-    mixed = mixed.join(staged(about, "about"), F.col("digest") == F.col("d_")).drop("d_")
+    mixed = mixed.join(kept(about, "about"), F.col("digest") == F.col("d_")).drop("d_")
     # A row that shares less than the index of its own size has no partner at all.
-    mixed = staged(mixed.filter(F.col("shared") >= least * F.col("size")), "open")
+    mixed = kept(mixed.filter(F.col("shared") >= least * F.col("size")), "open")
     x, y = mixed.filter("root > a").alias("x"), mixed.alias("y")
     enough = F.least("x.shared", "y.shared") * (1 + least) >= least * (F.col("x.size") + F.col("y.size"))
     first = F.array_position(F.zip_with("x.keys", "y.keys", lambda p, q: p == q), True) == F.col("x.t") + 1

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, staged, unpacked, words
+from .common import fitted, packed, staged, unpacked, words
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,18 +64,20 @@ def linked(fps: DataFrame, radius: int) -> DataFrame:
     least component are held against all; the join's condition holds the
     distance, so only true links come out of it.
     """
+    rows = fps.count() * len(masks(radius))
+    kept = lambda df, name: staged(fitted(df, rows), name)
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(radius))])
     member = fps.select("fp", F.inline(tables))
     member = member.toDF("fp", "t", "k")
     ends = member.groupBy("t", "k").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-    ends = staged(ends.filter("a < b"), "buckets")
-    member = staged(member.join(ends, ["t", "k"]), "members")
+    ends = kept(ends.filter("a < b"), "buckets")
+    member = kept(member.join(ends, ["t", "k"]), "members")
     star = lambda end: member.filter((F.col("fp") != F.col(end)) & (apart(F.col("fp"), F.col(end)) <= radius)).select(F.col("fp").alias("u"), F.col(end).alias("v"))
-    first = staged(star("a").union(star("b")).distinct(), "links")
+    first = kept(star("a").union(star("b")).distinct(), "links")
     roots = staged(components(first), "roots").withColumnRenamed("node", "fp")
-    known = staged(member.select("t", "k", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+    known = kept(member.select("t", "k", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
     mixed = known.groupBy("t", "k").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-    mixed = staged(known.join(staged(mixed, "mixed"), ["t", "k"]), "mixed")
+    mixed = kept(known.join(kept(mixed, "mixed"), ["t", "k"]), "mixed")
     x, y = mixed.filter("root > a").alias("x"), mixed.alias("y")
     differ = (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.root") > F.col("y.root")) & (apart(F.col("x.fp"), F.col("y.fp")) <= radius)
     more = x.join(y, differ).select(F.col("x.root").alias("u"), F.col("y.root").alias("v"))
