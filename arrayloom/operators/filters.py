@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -88,6 +89,12 @@ class Bank:
         return [np.fft.fft2(f) for f in self.spatial(rows, cols, True)]
 
 
+@functools.lru_cache(maxsize=64)
+def spectra_of(bank: Bank, rows: int, cols: int) -> list[np.ndarray]:
+    """A bank's spectra, made once in a worker for each of its images' extents."""
+    return bank.spectra(rows, cols)
+
+
 def expanded(image: np.ndarray, filters: np.ndarray) -> np.ndarray:
     """Inner products: channels x filters."""
     return np.einsum("cyx,fyx->cf", image, filters)
@@ -100,7 +107,7 @@ def convolved(image: np.ndarray, spectra: np.ndarray) -> np.ndarray:
 
 def grouped_responses(image: np.ndarray, bank: Bank) -> list[np.ndarray]:
     """Groups of maps among which features are invariant: all, or by shift for rings, fans and blobs."""
-    return [convolved(image, s).reshape(-1, *image.shape[1:]) for s in bank.spectra(*image.shape[1:])]
+    return [convolved(image, s).reshape(-1, *image.shape[1:]) for s in spectra_of(bank, *image.shape[1:])]
 
 
 def scattered(image: np.ndarray, first: Bank, later: Bank, layers: int) -> list[list[np.ndarray]]:
@@ -175,7 +182,7 @@ class Composite:
     def features(self, image: np.ndarray, phases: bool = False) -> np.ndarray:
         """Magnitudes of all filters and channels (or phase differences on the grid), over length."""
         parts = []
-        for name, f in self.filters(*image.shape[1:]).items():
+        for name, f in composite_filters(self, *image.shape[1:]).items():
             z = expanded(image, f)
             if name == "P" and (self.grid or phases):
                 parts += [phase_differences(self.frequencies(), c) for c in z]
@@ -185,10 +192,16 @@ class Composite:
 
     def complex_features(self, image: np.ndarray) -> np.ndarray:
         """Responses whose magnitudes are over length, with their phases."""
-        z = np.concatenate([expanded(image, f).ravel() for f in self.filters(*image.shape[1:]).values()])
+        z = np.concatenate([expanded(image, f).ravel() for f in composite_filters(self, *image.shape[1:]).values()])
         return unit(np.abs(z)) * np.exp(1j * np.angle(z))
 
 
+@functools.lru_cache(maxsize=64)
+def composite_filters(bank: Composite, rows: int, cols: int) -> dict[str, np.ndarray]:
+    """The same for composite banks."""
+    return bank.filters(rows, cols)
+
+
 def mapped(df: DataFrame, f, schema: str = "id long, label int, vec array<double>") -> DataFrame:
     """f(image) gives one vector, or points x values, for each image: id, label, (point,) vec."""
     points = "point" in schema

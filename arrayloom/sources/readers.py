@@ -122,11 +122,23 @@ def stl_images(content: bytes) -> Iterator[tuple]:
         yield 0, 3, 96, 96, a.astype(float).ravel()
 
 
+def fixed_records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """pos, record: files of records of one size, split among tasks wherever Spark likes, so they may be of any length."""
+    rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+    return spark.createDataFrame(rows, "pos long, record binary")
+
+
 def read_stl(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """Images joined to their one-byte labels by position."""
-    x = decoded(spark, images, stl_images, IMAGE).drop("label", "path")
-    y = decoded(spark, labels, lambda c: ((b,) for b in c), "path string, pos long, label int").drop("path")
-    return x.join(y, "pos").select("pos", "label", "channels", "rows", "cols", "data")
+    """Images joined to their one-byte labels by position. Both files are split."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"pos": b["pos"], "data": [next(stl_images(bytes(r)))[4] for r in b["record"]]})
+
+    x = fixed_records(spark, images, 27648).mapInPandas(run, "pos long, data array<double>")
+    y = fixed_records(spark, labels, 1).select("pos", F.conv(F.hex("record"), 16, 10).cast("int").alias("label"))
+    extents = [F.lit(v).alias(n) for n, v in (("channels", 3), ("rows", 96), ("cols", 96))]
+    return x.join(y, "pos").select("pos", "label", *extents, "data")
 
 
 def read_digits(spark: SparkSession, path: str, side: int = 28) -> DataFrame:
