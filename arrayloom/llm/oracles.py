@@ -88,4 +88,62 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM v
 """
 
-ORACLES = {"op2_mix": OP2, "op3_chat_format": OP3, "op4_warc": OP4, "op6_exact_dedup": OP6, "op7_quality_rules": OP7}
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+f AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS e
+  FROM d),
+g AS (
+  SELECT f.doc_id, part, [a, b, c, d, e] AS fails, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic
+  FROM f LEFT JOIN (SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id) l ON f.doc_id = l.doc_id),
+one AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM one a, one b, one c, one d, one e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+met AS (
+  SELECT part, o, s.i AS step, fails[o[s.i]] AS now, list_bool_or([fails[o[k]] FOR k IN range(1, s.i)]) AS before,
+         list_sum([k::INT FOR k IN fails]) AS n_fails, good, toxic
+  FROM g, orders, one s),
+sums AS (
+  SELECT part, o, step,
+         count(*) FILTER (NOT now AND NOT coalesce(before, FALSE)) AS kept, count(*) FILTER (now AND NOT coalesce(before, FALSE)) AS removed,
+         count(*) FILTER (now AND before) AS redundant, count(*) FILTER (now AND n_fails = 1) AS unique_fails,
+         count(*) FILTER (now AND NOT coalesce(before, FALSE) AND good) AS good_lost, count(*) FILTER (now AND NOT coalesce(before, FALSE) AND toxic) AS toxic_lost
+  FROM met GROUP BY part, o, step)
+SELECT part, array_to_string([substr('ABCDE', k::INT, 1) FOR k IN o], '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley
+FROM sums
+"""
+
+# Six rounds, each a pair of common table expressions: who is nearest to what, and the entries' new means.
+OP13 = """
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, (i - 1) // w AS part, (i - 1) % w AS pos, floor(4096 * v::DOUBLE)::BIGINT AS x
+  FROM (SELECT r, len(embedding) // 8 AS w, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM k)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= 16)
+""" + "".join(
+    f""", a{i} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT r, part, entry, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{i} USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part)"""
+    + (
+        f""", c{i + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce(m, c) AS c
+  FROM c{i} LEFT JOIN (
+    SELECT part, entry, pos, ((s - ((s % n) + n) % n) // n)::BIGINT AS m
+    FROM (SELECT part, entry, pos, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM x JOIN a{i} USING (r, part) GROUP BY part, entry, pos)) USING (part, entry, pos))"""
+        if i < 6
+        else ""
+    )
+    for i in range(7)
+) + """
+, v AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c6) AS codebooks_sha256
+FROM v JOIN k USING (r)
+"""
+
+ORACLES = {"op12_filter_audit": OP12, "op13_vector_codes": OP13, "op2_mix": OP2, "op3_chat_format": OP3, "op4_warc": OP4, "op6_exact_dedup": OP6, "op7_quality_rules": OP7}

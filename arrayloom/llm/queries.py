@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licences, mixing, pieces, quality, secrets, simhash, tokens, warc
+from . import audit, chat, codes, exact, licences, mixing, overlap, pieces, quality, secrets, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,19 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix, op3_chat_format, op4_warc, op5_simhash, op6_exact_dedup, op7_quality_rules, op8_secrets, op9_licences, op10_token_count)}
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.ngram_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix, op3_chat_format, op4_warc, op5_simhash, op6_exact_dedup, op7_quality_rules, op8_secrets, op9_licences, op10_token_count, op11_ngram_jaccard, op12_filter_audit, op13_vector_codes)}
 
 
 def queries() -> dict:
