@@ -1,10 +1,11 @@
 """Jaccard links between sets of word shingles, by a token-group matrix.
 
-Distinct sets are dealt into groups of similar ones. A group keeps the union of
-its tokens; a set's overlap with a group's union bounds its overlap with every
-member, so only groups whose bound reaches the threshold are opened, and a
-task then holds all members against their queries by a product of incidence
-matrices. All bounds are exact: no link between different sets is lost.
+Distinct sets are dealt into groups of similar ones, first by common keys, then
+by the links found within these. A group keeps the union of its tokens; a set's
+overlap with a group's union bounds its overlap with every member, so only
+groups whose bound reaches the threshold are opened, and tasks then hold their
+members against the queries by products of incidence matrices. All bounds are
+exact: no link between different sets is lost.
 
 Sets that can't have a partner leave early. A set of n tokens with an index of
 `least` percent to another lacks at most (100 - least)% of n there, so one with
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 from .components import components
 from .shingles import SEEDS, hashed_words, mix, shingled
 
@@ -98,16 +99,20 @@ def may_lack(size, least: int):
     return (size * (100 - least)) / 100
 
 
+def own_tokens(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, own): how many of its tokens no other key has. Keys without such have no row."""
+    held = rows.select(key, F.explode(tokens).alias("token")).groupBy("token").agg(F.min(key).alias(key), F.max(key).alias("other"))
+    return held.filter(F.col(key) == F.col("other")).groupBy(key).agg(F.count(F.lit(1)).alias("own"))
+
+
 def not_alone(sketches: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """The nodes that aren't seen to be without a partner by the sample of their tokens.
 
     Tokens that only one mark has are counted for it. Should two sets share a
     mark, neither leaves.
     """
-    tokens = sketches.select("mark", F.explode("sample").alias("token")).groupBy("token").agg(F.min("mark").alias("mark"), F.max("mark").alias("b"))
-    own = tokens.filter("mark = b").groupBy("mark").agg(F.count(F.lit(1)).alias("own"))
     same = nodes.groupBy("mark").agg(F.count(F.lit(1)).alias("same"))
-    seen = nodes.join(own, "mark", "left").join(same, "mark")
+    seen = nodes.join(own_tokens(sketches, "mark", "sample"), "mark", "left").join(same, "mark")
     return seen.filter((F.coalesce("own", F.lit(0)) <= may_lack(F.col("size"), least)) | (F.col("same") > 1)).drop("own", "same", "mark")
 
 
@@ -219,53 +224,50 @@ def grouped_links(sets: DataFrame, labels: DataFrame, least: int) -> DataFrame:
 EDGE_DDL = "u long, v long"
 
 
-def token_rows(sets: DataFrame, places: DataFrame) -> DataFrame:
-    """A row for each token of the sets that places(node, root, size, gid) names."""
-    return sets.select("node", "tokens").join(places, "node").select("node", "root", "size", "gid", F.explode("tokens").alias("token"))
-
-
 def foreign(tokens: DataFrame) -> DataFrame:
-    """(node, size, root, gid, shared): of each set, how many tokens sets of another root hold too. Sets without such have no row."""
+    """(node, shared): how many of a set's tokens sets of another root hold too. Sets without such have no row."""
     common = tokens.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token")
-    return tokens.join(common, "token", "left_semi").groupBy("node", "size", "root", "gid").agg(F.count(F.lit(1)).alias("shared"))
+    return tokens.join(common, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def matrix_links(sets: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """Edges for all links between sets of different roots, one at least for each set and root that it is the smaller partner for.
 
-    places(node, root, size, gid): the components so far and the groups. Of a
-    pair's two sets the smaller (either, if equal) is the query: it lacks at most
-    n (100 - least) / (100 + least) of its n tokens in the other. So of any one
-    more of its tokens than that, one is in its partner's group; the query's rarest are
-    taken, and the groups that hold one are its candidates. A candidate whose
-    union lacks more of the query's tokens isn't opened.
+    places(node, root, size) holds the components so far, which are the groups
+    here. Of a pair's two sets the smaller (either, if equal) is the query: it
+    lacks at most n (100 - least) / (100 + least) of its n tokens in the other.
+    So of any one more of its tokens than that, one is in its partner's group;
+    the query's rarest are taken, and the groups that hold one are its
+    candidates. A candidate whose union lacks more of the query's tokens isn't
+    opened.
     """
-    tokens = token_rows(sets, places)
+    own = lambda: sets.select("node", "tokens").join(places, "node").select("node", "root", "size", F.explode("tokens").alias("token"))
     for _ in range(2):  # those that leave may leave others alone
-        open_ = foreign(tokens).filter(F.col("size") - F.col("shared") <= may_lack(F.col("size"), least)).drop("shared")
-        places = staged(open_, "open")
-        tokens = staged(token_rows(sets, places), "tokens")
-    groups = tokens.groupBy("token", "gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("size").alias("s0"), F.max("size").alias("s1"))
-    groups = staged(groups, "matrix")  # a row for each token of each group's union
-    spread = groups.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("r0").alias("a"), F.max("r1").alias("b"))
-    spread = staged(spread, "spread")
+        open_ = places.join(foreign(own()), "node").filter(F.col("size") - F.col("shared") <= may_lack(F.col("size"), least))
+        places = staged(open_.drop("shared"), "open")
+    tokens = staged(own(), "tokens")
+    groups = tokens.groupBy("token", "root").agg(F.min("size").alias("s0"), F.max("size").alias("s1"))
+    groups = staged(groups.withColumnRenamed("root", "into"), "matrix")  # a row for each token of each group's union
+    spread = staged(groups.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "spread")
     lacks = F.expr(f"size * {100 - least} div {100 + least}")
-    ranked = tokens.join(spread, "token").withColumn("rank", F.expr("row_number() over (partition by node order by (a < b), n, token)"))
-    probes = ranked.filter((F.col("rank") <= lacks + 1) & (F.col("a") < F.col("b"))).select("node", "root", "size", "token")
-    held = groups.withColumnRenamed("token", "token_")
-    fits = (F.col("s1") >= F.col("size")) & (F.col("s0") * least <= F.col("size") * 100) & ((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root")))
-    candidates = probes.join(held, (F.col("token") == F.col("token_")) & fits).select("node", F.col("gid").alias("into")).distinct()
-    candidates = staged(candidates, "candidates")
-    bound = candidates.join(tokens.select("node", "size", "token"), "node").join(groups.select("token", F.col("gid").alias("into")), ["token", "into"])
+    ranked = tokens.join(spread, "token").withColumn("rank", F.expr("row_number() over (partition by node order by n, token)"))
+    probes = ranked.filter((F.col("rank") <= lacks + 1) & (F.col("n") > 1)).select("node", "root", "size", F.col("token").alias("token_"))
+    fits = (F.col("s1") >= F.col("size")) & (F.col("s0") * least <= F.col("size") * 100) & (F.col("into") != F.col("root"))
+    candidates = staged(probes.join(groups, (F.col("token") == F.col("token_")) & fits).select("node", "into").distinct(), "candidates")
+    bound = candidates.join(tokens.select("node", "size", "token"), "node").join(groups.select("token", "into"), ["token", "into"])
     opened = bound.groupBy("node", "into", "size").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("size") - F.col("shared") <= lacks)
     opened = staged(opened.select("node", "into"), "opened")
-    # A group with many queries is opened in several tasks.
-    blocks = staged(opened.groupBy("into").agg((1 + F.expr(f"count(1) div {MEMBERS}")).alias("blocks")), "blocks")
-    full = staged(sets.select("node", "tokens").join(places.select("node", "root", "gid"), "node"), "full")
-    queries = opened.join(full, "node").join(blocks, "into").select("node", "root", "tokens", "into", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    # An opened group is dealt in chunks, and one with many queries to several tasks a chunk.
+    blocks = opened.groupBy("into").agg((1 + F.expr(f"count(1) div {MEMBERS}")).alias("blocks"))
+    chunks = staged(dealt(places.withColumnRenamed("root", "label")).join(blocks, F.col("label") == F.col("into")).select("node", "into", "parts", "chunk", "blocks"), "chunks")
+    split = chunks.groupBy("into", "parts", "blocks").agg(F.count(F.lit(1)).alias("members")).drop("members")
+    full = staged(sets.select("node", "tokens").join(places.select("node", "root"), "node"), "full")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = full.join(chunks, "node").select("into", "chunk", every("blocks").alias("block"), "node", "root", "tokens")
+    queries = opened.join(full, "node").join(split, "into").select("into", every("parts").alias("chunk"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "root", "tokens")
     queries = queries.toDF(*queries.columns)  # names of their own, as both sides come from one table
-    members = full.join(blocks, full["gid"] == blocks["into"]).select("node", "root", "tokens", "into", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    return members.groupBy("into", "block").cogroup(queries.groupBy("into", "block")).applyInArrow(across(least), EDGE_DDL)
+    key = ("into", "chunk", "block")
+    return members.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(across(least), EDGE_DDL)
 
 
 def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, least: int = 85) -> DataFrame:
@@ -281,27 +283,32 @@ def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     Shingles are held as 64-bit hashes, sets as 128-bit digests of these.
     """
     id_, t = docs[f"`{doc_id}`"].cast("long"), docs[f"`{text}`"]
-    rows = docs.select(id_.alias("doc_id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("tkey"), hashed_words(t).alias("w_"))
+    tkey = F.xxhash64(F.coalesce(t, F.lit("")))
+    rows = docs.select(id_.alias("doc_id"), tkey.alias("tkey"), hashed_words(t).alias("w_"))
     sketches = staged(rows.mapInArrow(sketch(n), SKETCH), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("first")
     nodes = sketches.filter("size > 0").groupBy("digest", "size", "mark").agg(first, F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     some = staged(not_alone(sketches, nodes, least), "some")
-    # One row holds each set whose tokens are wanted, so copies don't meet in a task.
-    wanted = staged(some.select(F.col("first.doc_id").alias("d_"), F.col("first.tkey").alias("k_"), F.col("digest").alias("g_"), F.col("node").alias("node")), "wanted")
-    texts = rows.join(wanted, (F.col("tkey") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("d_")), "left_semi").select("w_")
+    every = staged(sketches.select("doc_id", "size", "digest"), "rows")
+    dropped(sketches)
+    # One row holds each set whose tokens are wanted, so copies don't meet in a task. Both sides are dealt by the key, as neither is small at scale.
+    wanted = staged(some.select(F.col("first.doc_id").alias("d_"), F.col("first.tkey").alias("k_"), F.col("digest").alias("g_"), "node"), "wanted")
+    texts = docs.select(id_.alias("doc_id"), tkey.alias("tkey"), t.alias("t_"))
+    texts = texts.join(wanted.hint("merge"), (F.col("tkey") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("d_")), "left_semi").select(hashed_words(F.col("t_")).alias("w_"))
     found = texts.mapInArrow(whole_sets(n), "digest binary, tokens array<long>").groupBy("digest").agg(F.first("tokens").alias("tokens"))
     sets = staged(found.join(wanted, found["digest"] == wanted["g_"]).select("node", "tokens"), "sets")
-    labels = staged(leaders(some).join(some.select("node", "size"), "node"), "labels")
+    near = some.join(own_tokens(sets, "node", "tokens"), "node", "left").filter(F.coalesce("own", F.lit(0)) <= may_lack(F.col("size"), least)).drop("own")
+    near = staged(near, "near")
+    labels = staged(leaders(near).join(near.select("node", "size"), "node"), "labels")
     edges = staged(grouped_links(sets, labels, least).distinct(), "edges")
     roots = staged(components(edges), "roots")
-    groups = staged(dealt(labels).select("node", "size", F.xxhash64("label", "chunk").alias("gid")), "grouped")
-    places = staged(groups.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "gid"), "places")
+    places = staged(near.select("node", "size").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"), "places")
     more = staged(matrix_links(sets, places, least).distinct(), "more")
     if not more.isEmpty():
         roots = staged(components(edges.union(more)), "roots")
     rooted = nodes.select("node", "digest", F.col("first.doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(rooted.join(ids, "root").select(F.col("digest").alias("digest_"), "component_id"), "named")
-    out = sketches.select("doc_id", "size", "digest").join(named, F.col("digest") == F.col("digest_"), "left")
+    out = every.join(named, F.col("digest") == F.col("digest_"), "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
