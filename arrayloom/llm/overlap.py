@@ -1,7 +1,7 @@
 """Jaccard links between sets of word shingles, by a token-group matrix.
 
-Distinct sets are dealt into groups of similar ones, first by common keys, then
-by the links found within these. A group keeps the union of its tokens; a set's
+Distinct sets are dealt into groups of similar ones, by common keys and by the
+links found within these. A group keeps the union of its tokens; a set's
 overlap with a group's union bounds its overlap with every member, so only
 groups whose bound reaches the threshold are opened, and tasks then hold their
 members against the queries by products of incidence matrices. All bounds are
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import dropped, staged
 from .components import components
-from .shingles import SEEDS, hashed_words, mix, shingled
+from .shingles import hashed_words, mix, rebased, shingled
 
 #: Tokens below this hash, a quarter of them, are the sample for the first screening.
-SAMPLE = np.uint64(1 << 62)
-#: Keys by which similar sets are grouped: each the least values of two hash functions. They steer the work, and decide nothing.
-KEYS, FUNCTIONS = 8, 2
+SAMPLE = 1 << 62
+#: Keys by which similar sets are grouped: the least hashes at or above two of BOUNDS each. They steer the work, and decide nothing.
+KEYS = 8
+BOUNDS = np.arange(2 * KEYS, dtype=np.uint64) * np.uint64((1 << 64) // (2 * KEYS))
 #: A group is split so that a task holds some so many sets and tokens at once.
-MEMBERS, TOKENS = 128, 250_000
+MEMBERS, TOKENS = 256, 500_000
 #: Columns of an incidence matrix that are multiplied at once.
 COLUMNS = 4096
 
@@ -46,8 +47,7 @@ def slices(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list
     """A batch in slices of a few texts, with each text's sorted distinct shingle hashes. The word hashes are the last column."""
     for i in range(0, batch.num_rows, 200):
         part = batch.slice(i, 200)
-        words = part.column(batch.num_columns - 1)
-        h, ends = shingled(pa.array(words.to_pylist(), words.type) if words.offset else words, n)
+        h, ends = shingled(rebased(part.column(batch.num_columns - 1)), n)
         yield part, [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
@@ -68,11 +68,10 @@ def sketch(n: int):
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 marks = np.frombuffer(b"".join(digests), np.int64)[::2]
                 some = sizes > 0
-                h, starts = joined(sets), (np.cumsum(sizes) - sizes)[some]
-                keys = np.zeros((int(some.sum()), KEYS), np.uint64)
-                for i in range(KEYS * FUNCTIONS if len(h) else 0):
-                    keys[:, i // FUNCTIONS] = mix(keys[:, i // FUNCTIONS] + np.minimum.reduceat(h * SEEDS[0, i] + SEEDS[1, i], starts))
-                sample = [s[: np.searchsorted(s, SAMPLE)] for s in sets]
+                # Least hashes from each bound on, round to the first where there are none.
+                ends = np.array([s[np.searchsorted(s, BOUNDS) % len(s)] for s in sets if len(s)], np.uint64).reshape(-1, KEYS, 2)
+                keys = mix(mix(ends[:, :, 0]) + ends[:, :, 1])
+                sample = [s[: np.searchsorted(s, np.uint64(SAMPLE))] for s in sets]
                 columns = [part.column(0), part.column(1), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(marks), list_array(keys.ravel(), some * KEYS), list_array(joined(sample), np.array([len(s) for s in sample]))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tkey", "size", "digest", "mark", "keys", "sample"])
 
@@ -230,36 +229,47 @@ def foreign(tokens: DataFrame) -> DataFrame:
     return tokens.join(common, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def still_open(sets: DataFrame, places: DataFrame, least: int, sample: bool) -> DataFrame:
+    """The places of sets that may have a partner of another root, by all of their tokens or by the sample."""
+    some = F.filter("tokens", lambda t: (t >= 0) & (t < SAMPLE)) if sample else F.col("tokens")
+    held = sets.select("node", some.alias("tokens")).join(places, "node").select("node", "root", "size", "family", "tokens")
+    seen = held.select("node", "root", "size", "family", F.size("tokens").alias("held")).join(foreign(held.select("node", "root", F.explode("tokens").alias("token"))), "node", "left")
+    return seen.filter(F.col("held") - F.coalesce("shared", F.lit(0)) <= may_lack(F.col("size"), least)).drop("held", "shared")
+
+
 def matrix_links(sets: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """Edges for all links between sets of different roots, one at least for each set and root that it is the smaller partner for.
+    """Edges for all links between sets of different roots, one at least for each set and root that it is the query for.
 
-    places(node, root, size) holds the components so far, which are the groups
-    here. Of a pair's two sets the smaller (either, if equal) is the query: it
+    places(node, root, size, family) holds the components so far and the groups.
+    Of a pair of two groups the smaller set (either, if equal) is the query: it
     lacks at most n (100 - least) / (100 + least) of its n tokens in the other.
     So of any one more of its tokens than that, one is in its partner's group;
     the query's rarest are taken, and the groups that hold one are its
     candidates. A candidate whose union lacks more of the query's tokens isn't
-    opened.
+    opened. Its own group is opened for a set that isn't in the largest component there.
     """
-    own = lambda: sets.select("node", "tokens").join(places, "node").select("node", "root", "size", F.explode("tokens").alias("token"))
-    for _ in range(2):  # those that leave may leave others alone
-        open_ = places.join(foreign(own()), "node").filter(F.col("size") - F.col("shared") <= may_lack(F.col("size"), least))
-        places = staged(open_.drop("shared"), "open")
-    tokens = staged(own(), "tokens")
-    groups = tokens.groupBy("token", "root").agg(F.min("size").alias("s0"), F.max("size").alias("s1"))
-    groups = staged(groups.withColumnRenamed("root", "into"), "matrix")  # a row for each token of each group's union
-    spread = staged(groups.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "spread")
+    for sample in (True, False):
+        places = staged(still_open(sets, places, least, sample), "open")
+    tokens = staged(sets.select("node", "tokens").join(places, "node").select("node", "size", "family", F.explode("tokens").alias("token")), "tokens")
+    groups = tokens.groupBy("token", "family").agg(F.min("size").alias("s0"), F.max("size").alias("s1"))
+    groups = staged(groups.withColumnRenamed("family", "into"), "matrix")  # a row for each token of each group's union
+    spread = groups.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     lacks = F.expr(f"size * {100 - least} div {100 + least}")
     ranked = tokens.join(spread, "token").withColumn("rank", F.expr("row_number() over (partition by node order by n, token)"))
-    probes = ranked.filter((F.col("rank") <= lacks + 1) & (F.col("n") > 1)).select("node", "root", "size", F.col("token").alias("token_"))
-    fits = (F.col("s1") >= F.col("size")) & (F.col("s0") * least <= F.col("size") * 100) & (F.col("into") != F.col("root"))
+    probes = ranked.filter((F.col("rank") <= lacks + 1) & (F.col("n") > 1)).select("node", "family", "size", F.col("token").alias("token_"))
+    fits = (F.col("s1") >= F.col("size")) & (F.col("s0") * least <= F.col("size") * 100) & (F.col("into") != F.col("family"))
     candidates = staged(probes.join(groups, (F.col("token") == F.col("token_")) & fits).select("node", "into").distinct(), "candidates")
     bound = candidates.join(tokens.select("node", "size", "token"), "node").join(groups.select("token", "into"), ["token", "into"])
-    opened = bound.groupBy("node", "into", "size").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("size") - F.col("shared") <= lacks)
-    opened = staged(opened.select("node", "into"), "opened")
+    others = bound.groupBy("node", "into", "size").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("size") - F.col("shared") <= lacks)
+    roots = places.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = roots.groupBy(F.col("family").alias("family_")).agg(F.max(F.struct("n", "root")).alias("x"))
+    own = places.join(largest, (F.col("family") == F.col("family_")) & (F.col("root") != F.col("x.root"))).select("node", F.col("family").alias("into"))
+    opened = staged(others.select("node", "into").union(own), "opened")
     # An opened group is dealt in chunks, and one with many queries to several tasks a chunk.
-    blocks = opened.groupBy("into").agg((1 + F.expr(f"count(1) div {MEMBERS}")).alias("blocks"))
-    chunks = staged(dealt(places.withColumnRenamed("root", "label")).join(blocks, F.col("label") == F.col("into")).select("node", "into", "parts", "chunk", "blocks"), "chunks")
+    sized = opened.join(places.select("node", "size"), "node").groupBy("into").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    blocks = sized.select("into", (1 + F.greatest(F.expr(f"n div {MEMBERS}"), F.expr(f"s div {TOKENS}"))).alias("blocks"))
+    chunks = dealt(places.select("node", "size", F.col("family").alias("label"))).join(blocks, F.col("label") == F.col("into"))
+    chunks = staged(chunks.select("node", "into", "parts", "chunk", "blocks"), "chunks")
     split = chunks.groupBy("into", "parts", "blocks").agg(F.count(F.lit(1)).alias("members")).drop("members")
     full = staged(sets.select("node", "tokens").join(places.select("node", "root"), "node"), "full")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -303,7 +313,10 @@ def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     labels = staged(leaders(near).join(near.select("node", "size"), "node"), "labels")
     edges = staged(grouped_links(sets, labels, least).distinct(), "edges")
     roots = staged(components(edges), "roots")
-    places = staged(near.select("node", "size").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"), "places")
+    led = labels.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    families = components(edges.union(led)).withColumnRenamed("root", "family")
+    places = near.select("node", "size").join(roots, "node", "left").join(families, "node", "left")
+    places = staged(places.select("node", F.coalesce("root", "node").alias("root"), "size", F.coalesce("family", "node").alias("family")), "places")
     more = staged(matrix_links(sets, places, least).distinct(), "more")
     if not more.isEmpty():
         roots = staged(components(edges.union(more)), "roots")

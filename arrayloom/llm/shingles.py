@@ -54,6 +54,12 @@ def shingled(lists: pa.ListArray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, ends
 
 
+def rebased(lists: pa.ListArray) -> pa.ListArray:
+    """A slice of lists with values and offsets of its own."""
+    offsets = lists.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), lists.flatten())
+
+
 def in_slices(f, out: str):
     """mapInArrow by f(digests, word lists) in slices of a few texts."""
 
@@ -61,10 +67,7 @@ def in_slices(f, out: str):
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                lists = pa.concat_arrays([part.column(1)])
-                if lists.offset or lists.offsets[0].as_py():
-                    lists = pa.array(lists.to_pylist(), lists.type)
-                yield pa.RecordBatch.from_arrays([part.column(0), f(lists)], names=["digest", out])
+                yield pa.RecordBatch.from_arrays([part.column(0), f(rebased(part.column(1)))], names=["digest", out])
 
     return run
 
