@@ -148,17 +148,25 @@ def top_k(df: DataFrame, k: int, by: str, tie: str, keys: list[str]) -> DataFram
 def after(df: DataFrame, n: int, order: str) -> DataFrame:
     """Rows but the first n in order. The n-th value is found by a top-n of each task, and rows up to it are left out where they stand.
 
-    Rows of equal order are told apart by their hash, as a full sort would by chance.
+    Rows of equal order are told apart by their hash, as a full sort would by
+    chance. Of rows that are equal throughout, as many go as stand within the
+    first n: copies of the n-th row are counted, not ranked. Null orders come first.
     """
     key = F.struct(F.col(order).alias("o"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
     first = df.select(key.alias("k")).orderBy("k").limit(n)
-    last = first.agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    last = first.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("n", "k").alias("copies"), F.max("k").alias("k"), F.sum("n").alias("n")).first()
     if n <= 0 or not last["n"]:
         return df
     if last["n"] < n:
         return df.filter("false")
-    bound = F.struct(F.lit(last["k"]["o"]).alias("o"), F.lit(last["k"]["h"]).alias("h"))
-    return df.filter(key > bound)
+    o, h = last["k"]["o"], F.lit(last["k"]["h"])
+    bound = F.struct(F.lit(o).cast(df.schema[order].dataType).alias("o"), h.alias("h"))
+    here = F.struct(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    same = df.filter(F.col(order).eqNullSafe(bound["o"])).select(here.alias("x")).filter(F.col("x.h") == h)
+    # Copies beyond those within the first n come out of their count.
+    left = same.groupBy("x.h").agg(F.first("x.row").alias("row"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > last["copies"])
+    again = left.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - last["copies"])).alias("i")).select("row.*")
+    return df.filter(key > bound).union(again)
 
 
 def joined_by(df: DataFrame, key: str, order: str, vec: str = "vec") -> DataFrame:

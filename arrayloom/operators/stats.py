@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
+from ..functions.storage import staged
 
 
 def bin_of(x: Column, width: float, bins: int, signed: bool = False) -> Column:
@@ -145,6 +146,79 @@ def singular_values(variances: np.ndarray, n_rows: int) -> np.ndarray:
     return np.sqrt(np.maximum(variances, 0) * n_rows)
 
 
+def triangle(df: DataFrame, vec: str, n: int, fan: int = 32) -> np.ndarray:
+    """R (n x n) of the QR decomposition of all rows, by a tree of factors.
+
+    A task keeps the factor of its rows so far; `fan` factors are then merged by
+    one task at a time until one is left. Singular values of R are those of the
+    rows, and no product of the data with itself squares their condition.
+    """
+
+    def factors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.zeros((0, n))
+        for b in batches:
+            if len(b):
+                r = np.linalg.qr(np.vstack([r, np.stack(b["v"].to_list())]), mode="r")
+        if len(r):
+            yield pd.DataFrame({"r": [r.ravel()]})
+
+    def merged(parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"r": [np.linalg.qr(np.vstack([x.reshape(-1, n) for x in parts["r"]]), mode="r").ravel()]})
+
+    level = staged(df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(factors, "r array<double>"), "factors")
+    count = level.count()
+    while count > 1:
+        groups = -(-count // fan)
+        at = F.pmod(F.xxhash64("r"), F.lit(groups)) if groups > 1 else F.lit(0)
+        level = staged(level.groupBy(at.alias("g")).applyInPandas(merged, "r array<double>"), "factors")
+        count = level.count()
+    out = np.zeros((n, n))
+    if count:
+        r = np.array(level.first()["r"]).reshape(-1, n)
+        out[: len(r)] = r
+    return out
+
+
+def svd_components(df: DataFrame, vec: str, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the k leading right singular vectors of the centred rows (largest coordinate positive), and their singular values."""
+    mean = np.array(vector_mean(df.filter(F.col(vec).isNotNull()), vec).first()["mean"])
+    centred = F.zip_with(F.col(vec).cast("array<double>"), F.array(*map(F.lit, mean.tolist())), lambda x, m: x - m)
+    _, values, rows = np.linalg.svd(triangle(df.select(centred.alias("centred_")), "centred_", n))
+    rows = rows[:k] * np.sign(rows[np.arange(k), np.abs(rows[:k]).argmax(axis=1)])[:, None]
+    return mean, rows, values[:k]
+
+
+def at_ranks(df: DataFrame, value: str, ranks: list[int], keys: tuple[str, ...] = (), held: int = 1000) -> DataFrame:
+    """keys, rank, value: the rank-th smallest value (from 1) of each group, exactly, without a sort of the rows.
+
+    Approximate percentiles give bounds about each wanted rank; counts below and
+    within them narrow them until few distinct values are left, which are
+    counted. Two or three passes are usual; each shuffles a few numbers a group.
+    Nulls have no rank; a rank beyond a group's rows gives no row.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_"))
+    on = list(keys) or ["all_"]
+    rows = rows if keys else rows.withColumn("all_", F.lit(0))
+    ends = rows.groupBy(*on).agg(F.min("v_").alias("low"), F.max("v_").alias("high"), F.count(F.lit(1)).alias("n"))
+    todo = staged(ends.select(*on, "low", "high", F.explode(F.array(*[F.lit(r).cast("long") for r in ranks])).alias("rank"), "n").filter("rank between 1 and n").withColumn("left", F.col("rank")), "bounds")
+    names = [*on, "low", "high", "rank", "n", "left"]
+    while not todo.filter((F.col("n") > held) & (F.col("low") < F.col("high"))).isEmpty():
+        # Rows between the bounds of a group's ranks; a rank's place in them is `left`.
+        inside = rows.join(todo, on).filter(F.col("v_").between(F.col("low"), F.col("high")))
+        cut = F.percentile_approx("v_", F.array(*[F.lit(i / 64) for i in range(65)]), F.lit(1000))
+        cuts = staged(inside.groupBy(*names).agg(cut.alias("cuts")), "cuts")
+        # How many rows lie below and at each cut, so exact counts choose the next bounds.
+        found = rows.join(cuts, on).filter(F.col("v_").between(F.col("low"), F.col("high"))).withColumn("slot", F.size(F.filter("cuts", lambda c: c < F.col("v_"))))
+        slots = found.groupBy(*names, "slot").agg(F.count(F.lit(1)).alias("m"), F.min("v_").alias("a"), F.max("v_").alias("b"))
+        run = F.sum("m").over(W.partitionBy(*on, "rank").orderBy("slot"))
+        picked = slots.withColumn("upto", run).filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("m") < F.col("left")))
+        todo = staged(picked.select(*on, F.col("a").alias("low"), F.col("b").alias("high"), "rank", F.col("m").alias("n"), (F.col("left") - F.col("upto") + F.col("m")).alias("left")), "bounds")
+    last = rows.join(todo, on).filter(F.col("v_").between(F.col("low"), F.col("high"))).groupBy(*on, "rank", "left", "v_").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(W.partitionBy(*on, "rank").orderBy("v_"))
+    out = last.withColumn("upto", upto).filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("m") < F.col("left")))
+    return out.select(*keys, "rank", F.col("v_").alias("value"))
+
+
 def project(vec: Column, mean: list[float], rows: list[list[float]]) -> Column:
     """(v - mean) times each component."""
     centred = F.zip_with(vec, F.array(*map(F.lit, mean)), lambda x, m: x - m)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import classifiers, encoders, geometry, pyramids, stats
+from ..operators import classifiers, duals, encoders, geometry, pyramids, stats
 from .registry import EM, images, query, r6, vectors
 
 
@@ -134,6 +134,27 @@ def svm_train(spark, d):
     return stats.accuracy(classifiers.predicted(df, model, "v"), "label", "predicted")
 
 
+_GAPS = "SELECT label::DOUBLE AS label, TRUE AS solved FROM embeddings GROUP BY label"
+
+
+def _gaps(spark, labels, gaps):
+    return spark.createDataFrame([(float(y), bool(g <= 1e-3)) for y, g in zip(labels, gaps, strict=True)], "label double, solved boolean")
+
+
+@query(_GAPS)
+def dual_hinge(spark, d):
+    """Whether each label's hinge machine, solved in its dual over all vectors, is within a thousandth of its optimum."""
+    model, gap = duals.train_dual(vectors(spark, d), 64, 1.0, vec="v")
+    return _gaps(spark, model.labels, gap)
+
+
+@query(_GAPS)
+def joint_hinge(spark, d):
+    """As dual_hinge, for the one machine of all labels."""
+    model, gap = duals.train_joint(vectors(spark, d), 64, 1.0, vec="v")
+    return _gaps(spark, model.labels, [gap] * len(model.labels))
+
+
 @query()
 def cross_validation(spark, d):
     df = vectors(spark, d)

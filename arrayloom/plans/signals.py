@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..operators import fourier, kernels, stencils
-from .registry import PX, pixels, query, r6, table
+from .registry import EM, PX, pixels, query, r6, table, vectors
 
 _W = "WINDOW r AS (PARTITION BY id, y ORDER BY x), c AS (PARTITION BY id, x ORDER BY y)"
 _DX, _DY = (f"(coalesce(lead({{v}}) OVER {w}, {{v}}) - coalesce(lag({{v}}) OVER {w}, {{v}}))" for w in "rc")
@@ -117,13 +115,14 @@ def frequency_centre(spark, d):
     return fourier.centred(_complex(spark, d)).select("id", "y", "x", r6("re").alias("re"))
 
 
-_G = "WITH g AS (SELECT r::INT AS r, q::INT AS q, (r - 8)::DOUBLE AS y, (q - 8)::DOUBLE AS x, sqrt(pow(r - 8, 2) + pow(q - 8, 2)) AS d, CASE WHEN r = 8 AND q = 8 THEN 0 WHEN atan2(r - 8, q - 8) < 0 THEN atan2(r - 8, q - 8) + 2 * pi() ELSE atan2(r - 8, q - 8) END AS t FROM range(0, 16) a(r), range(0, 16) b(q)) "
+#: DuckDB: pixels with their offsets from the middle, as x and y, length d and angle t.
+_G = PX + ", g AS (SELECT id, v, (y - 4)::DOUBLE AS y, (x - 4)::DOUBLE AS x, sqrt(pow(y - 4, 2) + pow(x - 4, 2)) AS d, CASE WHEN y = 4 AND x = 4 THEN 0 WHEN atan2(y - 4, x - 4) < 0 THEN atan2(y - 4, x - 4) + 2 * pi() ELSE atan2(y - 4, x - 4) END AS t FROM px) "
 
 
-def _kernel(spark, k):
-    g = kernels.grid(spark, 16, 16)
-    re, im = k(F.col("x"), F.col("y"))
-    return g.select("r", "q", r6(re.cast("double")).alias("re"), r6(im.cast("double")).alias("im"))
+def _kernel(spark, d, k):
+    """The response of every image to a kernel about its middle."""
+    filters = kernels.bank(kernels.grid(spark, 8, 8), {0: k(F.col("x"), F.col("y"))})
+    return kernels.apply_bank(pixels(spark, d), filters).select("id", (F.round("re", 5) + F.lit(0.0)).alias("re"), (F.round("im", 5) + F.lit(0.0)).alias("im"))
 
 
 def _real(f):
@@ -131,32 +130,32 @@ def _real(f):
 
 
 def _sql(re: str, im: str = "0.0") -> str:
-    return _G + f"SELECT r, q, round(({re})::DOUBLE, 6) + 0.0 AS re, round(({im})::DOUBLE, 6) + 0.0 AS im FROM g"
+    return _G + f"SELECT id, round(sum(v * ({re})::DOUBLE), 5) + 0.0 AS re, round(sum(v * ({im})::DOUBLE), 5) + 0.0 AS im FROM g GROUP BY id"
 
 
 @query(_sql("exp(-x * x / 18) / (sqrt(2 * pi()) * 3)"))
 def kernel_gaussian_1d(spark, d):
-    return _kernel(spark, _real(lambda x, y: kernels.gaussian_1d(3.0, x)))
+    return _kernel(spark, d, _real(lambda x, y: kernels.gaussian_1d(3.0, x)))
 
 
 @query(_sql("exp(-d * d / 18) / (18 * pi())"))
 def kernel_gaussian_2d(spark, d):
-    return _kernel(spark, _real(lambda x, y: kernels.gaussian_2d(3.0, x, y)))
+    return _kernel(spark, d, _real(lambda x, y: kernels.gaussian_2d(3.0, x, y)))
 
 
 @query(_sql("exp(-pow(d - 12 * (2 - exp(-0.3)) / pi(), 2) / 8) / (8 * pi())"))
 def kernel_gaussian_ring(spark, d):
-    return _kernel(spark, _real(lambda x, y: kernels.gaussian_ring(3, 2.0, x, y)))
+    return _kernel(spark, d, _real(lambda x, y: kernels.gaussian_ring(3, 2.0, x, y)))
 
 
 @query(_sql("cos(0.5 * (x * cos(0.3) - y * sin(0.3)))", "sin(0.5 * (x * cos(0.3) - y * sin(0.3)))"))
 def kernel_grating(spark, d):
-    return _kernel(spark, lambda x, y: kernels.grating(0.5, 0.3, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.grating(0.5, 0.3, x, y))
 
 
 @query(_sql("exp(-d * d / 18) * cos(-2 * pi() * 0.1 * (x * cos(0.7) + y * sin(0.7)))", "exp(-d * d / 18) * sin(-2 * pi() * 0.1 * (x * cos(0.7) + y * sin(0.7)))"))
 def kernel_gabor(spark, d):
-    return _kernel(spark, lambda x, y: kernels.gabor(3.0, 0.1, 0.7, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.gabor(3.0, 0.1, 0.7, x, y))
 
 
 _FM = "CASE WHEN d > 0 AND d > 4 / pi() THEN pow(d, -0.5) * {f}(-1.5 * ln(CASE WHEN d > 0 THEN d ELSE 1 END) - 2 * t) ELSE 0 END"
@@ -164,7 +163,7 @@ _FM = "CASE WHEN d > 0 AND d > 4 / pi() THEN pow(d, -0.5) * {f}(-1.5 * ln(CASE W
 
 @query(_sql(_FM.format(f="cos"), _FM.format(f="sin")))
 def kernel_fourier_mellin(spark, d):
-    return _kernel(spark, lambda x, y: kernels.fourier_mellin(1.5, 2, -0.5, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.fourier_mellin(1.5, 2, -0.5, x, y))
 
 
 _PW = "CASE WHEN d > 0 THEN exp(-pow(ln(d) - ln(3), 2) / 2) * {f}(2 * t + 1.5 * ln(d)) ELSE 0 END"
@@ -172,7 +171,7 @@ _PW = "CASE WHEN d > 0 THEN exp(-pow(ln(d) - ln(3), 2) / 2) * {f}(2 * t + 1.5 *
 
 @query(_sql(_PW.format(f="cos"), _PW.format(f="sin")).replace("ln(d)", "ln(CASE WHEN d > 0 THEN d ELSE 1 END)"))
 def kernel_pinwheel(spark, d):
-    return _kernel(spark, lambda x, y: kernels.gaussian_pinwheel(3.0, 1.5, 2, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.gaussian_pinwheel(3.0, 1.5, 2, x, y))
 
 
 _IG = "exp(-d * d / 32) / (32 * pi()) * (exp(-d * d / 32) / (32 * pi()) - exp(-d * d / 8) / (8 * pi()) - (1 / (32 * pi()) - 1 / (8 * pi()))) * CASE WHEN d > 0 THEN {f}(2 * t + 1.5 * ln(CASE WHEN d > 0 THEN d ELSE 1 END)) ELSE 0 END * 1"
@@ -180,7 +179,7 @@ _IG = "exp(-d * d / 32) / (32 * pi()) * (exp(-d * d / 32) / (32 * pi()) - exp(-d
 
 @query(_sql(_IG.format(f="cos"), _IG.format(f="sin")))
 def kernel_inverse_gaussian(spark, d):
-    return _kernel(spark, lambda x, y: kernels.inverse_gaussian_pinwheel(4.0, 2.0, 1.5, 2, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.inverse_gaussian_pinwheel(4.0, 2.0, 1.5, 2, x, y))
 
 
 _RING = "CASE WHEN d > 0 THEN exp(-pow(ln(CASE WHEN d > 0 THEN d ELSE 1 END) - ln(4), 2) / 0.5) / d * {f}(3 * t + 2 * (ln(CASE WHEN d > 0 THEN d ELSE 1 END) - ln(4))) ELSE 0 END"
@@ -188,7 +187,7 @@ _RING = "CASE WHEN d > 0 THEN exp(-pow(ln(CASE WHEN d > 0 THEN d ELSE 1 END) - l
 
 @query(_sql(_RING.format(f="cos"), _RING.format(f="sin")))
 def kernel_ring(spark, d):
-    return _kernel(spark, lambda x, y: kernels.pinwheel_ring(0.5, 4.0, 2.0, 3, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.pinwheel_ring(0.5, 4.0, 2.0, 3, x, y))
 
 
 _FAN = "CASE WHEN d > 0 THEN exp(-pow((t - 1 - 2 * pi() * floor((t - 1 + pi()) / (2 * pi()))) / 0.6, 2) / 2) * {f}(3 * (t - 1 - 2 * pi() * floor((t - 1 + pi()) / (2 * pi()))) + 2 * ln(CASE WHEN d > 0 THEN d ELSE 1 END)) ELSE 0 END"
@@ -196,7 +195,7 @@ _FAN = "CASE WHEN d > 0 THEN exp(-pow((t - 1 - 2 * pi() * floor((t - 1 + pi()) /
 
 @query(_sql(_FAN.format(f="cos"), _FAN.format(f="sin")))
 def kernel_fan(spark, d):
-    return _kernel(spark, lambda x, y: kernels.pinwheel_fan(0.6, 1.0, 2.0, 3, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.pinwheel_fan(0.6, 1.0, 2.0, 3, x, y))
 
 
 _P, _Q = "(x * cos(0.4) - y * sin(0.4))", "(x * sin(0.4) + y * cos(0.4))"
@@ -205,26 +204,32 @@ _HY = f"CASE WHEN d = 0 THEN {{at0}} ELSE exp(-d * d / 18) / (18 * pi()) * {{f}}
 
 @query(_sql(_HY.format(f="cos", at0="1 / (18 * pi())"), _HY.format(f="sin", at0="0")))
 def kernel_hyperbolic(spark, d):
-    return _kernel(spark, lambda x, y: kernels.hyperbolic(3.0, 0.7, 0.5, 0.4, x, y))
+    return _kernel(spark, d, lambda x, y: kernels.hyperbolic(3.0, 0.7, 0.5, 0.4, x, y))
 
 
 @query(_sql("CASE WHEN d > 0 THEN exp(-0.5 * pow((log2(CASE WHEN d > 0 THEN d ELSE 1 END) - 2) / (0.996 * sqrt(2 / 3)), 2)) ELSE 0 END"))
 def kernel_log_gabor(spark, d):
-    return _kernel(spark, _real(lambda x, y: kernels.log_gabor(F.sqrt((x * x + y * y).cast("double")), 2.0)))
+    return _kernel(spark, d, _real(lambda x, y: kernels.log_gabor(F.sqrt((x * x + y * y).cast("double")), 2.0)))
+
+
+_WIN = EM + "SELECT id, i, round(CASE WHEN x <= pi() / 4 THEN 0 WHEN x >= pi() / 2 THEN 1 ELSE cos(pi() / 2 * log2(2 * x / pi())) END, 6) + 0.0 AS h1, round(CASE WHEN x <= pi() / 4 THEN 2 WHEN x >= pi() / 2 THEN 0 ELSE 2 * cos(pi() / 2 * log2(4 * x / pi())) END, 6) + 0.0 AS l1, round(CASE WHEN abs(x - pi() / 4) <= pi() / 2 THEN 48 / sqrt(4 * 720) * pow(cos(x - pi() / 4), 3) ELSE 0 END, 6) + 0.0 AS g1 FROM (SELECT id, (generate_subscripts(v, 1) - 1)::INT AS i, abs(unnest(v)) * 6 AS x FROM e)"
 
 
-@query("WITH w AS (SELECT i::INT AS i, i * pi() / 64 AS x FROM range(0, 65) t(i)) SELECT i, round(CASE WHEN x <= pi() / 4 THEN 0 WHEN x >= pi() / 2 THEN 1 ELSE cos(pi() / 2 * log2(2 * x / pi())) END, 6) + 0.0 AS h1, round(CASE WHEN x <= pi() / 4 THEN 2 WHEN x >= pi() / 2 THEN 0 ELSE 2 * cos(pi() / 2 * log2(4 * x / pi())) END, 6) + 0.0 AS l1, round(CASE WHEN abs(x - pi() / 4) <= pi() / 2 THEN 48 / sqrt(4 * 720) * pow(cos(x - pi() / 4), 3) ELSE 0 END, 6) + 0.0 AS g1 FROM w")
+@query(_WIN)
 def pyramid_windows(spark, d):
+    """The windows at frequencies that the vectors' values name."""
     x = F.col("x")
-    w = spark.range(65).select(F.col("id").cast("int").alias("i"), (F.col("id") * math.pi / 64).alias("x"))
-    # On the exact bounds both engines round pi alike.
-    return w.select("i", r6(kernels.band_pass(x)).alias("h1"), r6(kernels.low_pass(x)).alias("l1"), r6(kernels.angular_window(1, 4, x)).alias("g1"))
+    w = vectors(spark, d).select("id", F.posexplode("v").alias("i", "x")).withColumn("x", F.abs("x") * 6)
+    return w.select("id", "i", r6(kernels.band_pass(x)).alias("h1"), r6(kernels.low_pass(x)).alias("l1"), r6(kernels.angular_window(1, 4, x)).alias("g1"))
 
 
-@query("SELECT i::INT AS i, round(2 * pi() * CASE WHEN i > 8 THEN i - 16 ELSE i END / 16, 6) + 0.0 AS w, round(abs(2 * pi() * CASE WHEN i > 8 THEN i - 16 ELSE i END / 16), 6) AS a FROM range(0, 16) t(i)")
+@query(EM + "SELECT id, round(sum(x * 2 * pi() * CASE WHEN i > 32 THEN i - 64 ELSE i END / 64), 5) + 0.0 AS w, round(sum(x * abs(2 * pi() * CASE WHEN i > 32 THEN i - 64 ELSE i END / 64)), 5) + 0.0 AS a FROM (SELECT id, (generate_subscripts(v, 1) - 1)::INT AS i, unnest(v) AS x FROM e) GROUP BY id")
 def frequency_map(spark, d):
-    i = F.col("id").cast("int")
-    return spark.range(16).select(i.alias("i"), r6(kernels.folded_frequency(i, 16, True)).alias("w"), r6(kernels.folded_frequency(i, 16)).alias("a"))
+    """Vectors weighted by the frequencies that their elements stand for, with sign and without."""
+    i = F.col("i")
+    x = vectors(spark, d).select("id", F.posexplode("v").alias("i", "x"))
+    total = lambda signed: F.round(F.sum(F.col("x") * kernels.folded_frequency(i, 64, signed)), 5) + F.lit(0.0)
+    return x.groupBy("id").agg(total(True).alias("w"), total(False).alias("a"))
 
 
 _GB = "exp(-(pow(y - 4, 2) + pow(x - 4, 2)) / 8)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import encoders, joins, stats
+from ..operators import encoders, joins, neighbors, stats
 from .registry import EM, PX, pixels, query, r6, table, vectors
 
 _D2 = "list_sum(list_transform(range(1, 65), lambda i: pow(q.v[i] - p.v[i], 2)))"
@@ -31,6 +31,31 @@ def nearest_neighbor(spark, d):
     return joins.nearest(*_pairs(spark, d), 1).select("q", "p")
 
 
+@query(EM + f"SELECT q, p, round(d2, 5) AS d2, r::INT AS rank FROM (SELECT q.id AS q, p.id AS p, {_D2} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {_D2}, p.id) AS r FROM e q, e p WHERE q.id % 50 = 0) WHERE r <= 3")
+def tree_nearest_vectors(spark, d):
+    return neighbors.nearest_by_tree(*_pairs(spark, d), 3).select("q", "p", F.round("d2", 5).alias("d2"), "rank")
+
+
+@query("WITH x AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS a, (o_custkey % 1000)::DOUBLE AS b FROM orders), j AS (SELECT q.id AS q, p.id AS p, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) AS d2 FROM x q, x p WHERE q.id % 50 = 0) SELECT q, p, round(d2, 5) AS d2, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, p) AS r FROM j) WHERE r <= 5")
+def tree_nearest_orders(spark, d):
+    """Orders near in price and customer: few dimensions, where a tree asks few points."""
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("p"), F.array(F.col("o_totalprice") / 1000, (F.col("o_custkey") % 1000).cast("double")).alias("pv"))
+    return neighbors.nearest_by_tree(p.filter("p % 50 = 0").toDF("q", "qv"), p, 5).select("q", "p", F.round("d2", 5).alias("d2"), "rank")
+
+
+@query("SELECT event_type, rank, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rank FROM events WHERE value IS NOT NULL) WHERE rank IN (1, 50, 77, 150)")
+def selected_ranks(spark, d):
+    """Values of given ranks by event type, selected without a sort."""
+    return stats.at_ranks(table(spark, d, "events"), "value", [1, 50, 77, 150], ("event_type",))
+
+
+@query("WITH v AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM v), g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM c a JOIN c b USING (id) GROUP BY ALL) SELECT round(sum(g) FILTER (i = j), 4) AS squares, round(sum(g * g), 4) AS fourths FROM g")
+def singular_sums(spark, d):
+    """Sums of squares and of fourth powers of all singular values of the centred vectors: the Gram matrix's trace and squared norm."""
+    _, _, values = stats.svd_components(vectors(spark, d), "v", 64, 64)
+    return spark.createDataFrame([(float((values**2).sum()), float((values**4).sum()))], "squares double, fourths double").select(F.round("squares", 4).alias("squares"), F.round("fourths", 4).alias("fourths"))
+
+
 def _parts(spark, d):
     p = table(spark, d, "part")
     point = lambda t: p.select(F.col("p_partkey").alias(f"{t}_id"), F.col("p_size").cast("double").alias(f"{t}_s"), (F.col("p_retailprice") / 10).alias(f"{t}_r"))
