@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import fitted, staged, words
 from .components import components
-from .simhash import LOWER, UPPER, digest, least_rows, marked
+from .simhash import LOWER, UPPER, least_rows, marked, text_keys
 
 BANDS, EACH = 24, 4
 SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * EACH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,11 +175,12 @@ def drop_alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     of n words, and those that simhash.drop_near links (4-word shingles, 4 bits).
     Which row stays, and what odd rows give, is as there.
     """
-    fps = marked(docs, doc_id, text, 4, 4)
+    key = text_keys(docs, text)
+    fps = marked(docs, doc_id, text, 4, 4, key)
     # The digests of one fingerprint's component hang on its least.
     hubs = staged(fps.groupBy("root").agg(F.min("digest").alias("v"), F.max("digest").alias("w")).filter("v < w").drop("w"), "hubs")
     known = staged(fps.join(hubs, "root").filter("digest > v").select(F.col("digest").alias("u"), "v").distinct(), "known")
-    texts = docs.select(digest(docs[f"`{text}`"]).alias("digest"), docs[f"`{text}`"].alias("t_"))
+    texts = docs.select(key(docs[f"`{text}`"]).alias("digest"), docs[f"`{text}`"].alias("t_"))
     roots = jaccard_roots(texts, known, n, least)
     out = fps.select("doc_id", "digest").join(roots, fps["digest"] == roots["node"], "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
-    return least_rows(docs, staged(out, "marked"), doc_id, text)
+    return least_rows(docs, staged(out, "marked"), doc_id, text, key)

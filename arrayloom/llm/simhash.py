@@ -114,7 +114,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_shingles", "component_id")
 
 
-def least_rows(docs: DataFrame, marked: DataFrame, doc_id: str, text: str) -> DataFrame:
+def least_rows(docs: DataFrame, marked: DataFrame, doc_id: str, text: str, key) -> DataFrame:
     """One row of docs for each root of marked (doc_id, digest, root; a row for each of docs).
 
     That is the row with the least id, null ids last, then the least digest; of
@@ -127,7 +127,7 @@ def least_rows(docs: DataFrame, marked: DataFrame, doc_id: str, text: str) -> Da
     # Repeats that go are in both.
     marks = gone.union(repeats).groupBy(F.col("doc_id").alias("doc_id_"), F.col("digest").alias("digest_")).agg(F.max("gone").alias("gone_"))
     marks = staged(marks, "gone")
-    rows = packed(docs, id_=docs[f"`{doc_id}`"], h_=digest(docs[f"`{text}`"]))
+    rows = packed(docs, id_=docs[f"`{doc_id}`"], h_=key(docs[f"`{text}`"]))
     same = lambda m: (rows["h_"] == m["digest_"]) & rows["id_"].eqNullSafe(m["doc_id_"])
     out = rows.join(marks, same(marks), "left_anti").select("row")
     twice = marks.filter("not gone_")
@@ -138,13 +138,39 @@ def least_rows(docs: DataFrame, marked: DataFrame, doc_id: str, text: str) -> Da
 
 
 def digest(text: Column) -> Column:
-    """A 64-bit hash of a text, as the texts of one id are told apart by. Null counts as empty."""
+    """A 64-bit hash of a text. Null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def marked(docs: DataFrame, doc_id: str, text: str, n: int, radius: int) -> DataFrame:
-    """A row for each of docs: doc_id, digest, and root, one of its component's fingerprints."""
-    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), digest(docs[f"`{text}`"]).alias("digest"), docs[f"`{text}`"].alias("t_"))
+def second(text: Column) -> Column:
+    """Another 64-bit hash, for texts that share a digest."""
+    return F.xxhash64(F.lit("second"), F.coalesce(text, F.lit("")))
+
+
+#: Digests of more than one text that can be told apart; some 17 are expected among 2.5e10 texts.
+MOST_SHARED = 10_000
+
+
+def text_keys(docs: DataFrame, text: str):
+    """A function from a text to a 64-bit key that no two different texts of docs share.
+
+    That is the digest; texts whose digest others have too, found by a pass over
+    all texts, take their second hash. An error if keys still clash.
+    """
+    t = docs[f"`{text}`"]
+    clashes = lambda first: docs.select(first(t).alias("d"), digest(t).alias("a"), second(t).alias("b")).groupBy("d").agg(*[f(c).alias(f"{n}_{c}") for c in "ab" for n, f in (("low", F.min), ("high", F.max))]).filter("low_a < high_a or low_b < high_b")
+    shared = [r.d for r in clashes(digest).limit(MOST_SHARED + 1).collect()]
+    if not shared:
+        return digest
+    key = lambda c: F.when(digest(c).isin(shared), second(c)).otherwise(digest(c))
+    if len(shared) > MOST_SHARED or not clashes(key).isEmpty():
+        raise RuntimeError("too many texts share their 64-bit hashes")
+    return key
+
+
+def marked(docs: DataFrame, doc_id: str, text: str, n: int, radius: int, key) -> DataFrame:
+    """A row for each of docs: doc_id, digest (its text's key), and root, one of its component's fingerprints."""
+    rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), key(docs[f"`{text}`"]).alias("digest"), docs[f"`{text}`"].alias("t_"))
     rows = rows.withColumn("row_", F.monotonically_increasing_id())
     fps = staged(fingerprints(rows, "t_", n, ["row_", "doc_id", "digest"]), "simhash")
     roots = staged(linked(staged(fps.select("fp").distinct(), "fingerprints"), radius), "rooted")
@@ -159,4 +185,5 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     are judged each by its own text; of an id's rows in one component that with
     the least digest stays, and of full repeats one.
     """
-    return least_rows(docs, marked(docs, doc_id, text, n, radius), doc_id, text)
+    key = text_keys(docs, text)
+    return least_rows(docs, marked(docs, doc_id, text, n, radius, key), doc_id, text, key)

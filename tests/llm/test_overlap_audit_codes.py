@@ -8,7 +8,9 @@ from collections import Counter
 
 import pytest
 
-from arrayloom.llm import audit, codes, overlap
+from pyspark.sql import functions as F
+
+from arrayloom.llm import audit, codes, overlap, shingles, simhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards boil a pot of green tea and sing about rivers of the far north"
@@ -218,3 +220,19 @@ def test_codes_out_of_range(spark):
         codes.vector_codes(df, parts=3)
     with pytest.raises(ValueError):
         codes.vector_codes(df, entries=300)
+
+
+def test_texts_that_share_a_digest(spark, monkeypatch):
+    """Near-dedup tells texts apart whose 64-bit digests are equal."""
+    words = [f"w{i:03}" for i in range(60)]
+    other = [f"x{i:03}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words + ["end"])), (4, None), (5, " ".join(reversed(words))), (6, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1, 2, 4, 5}
+    assert {r.doc_id for r in shingles.drop_alike(docs).collect()} == want
+    monkeypatch.setattr(simhash, "digest", lambda t: F.length(F.coalesce(t, F.lit(""))).cast("long"))
+    assert {r.doc_id for r in shingles.drop_alike(docs).collect()} == want
+    few = spark.createDataFrame([(i, t) for i, t in enumerate(["xxxa", "xxxb", "xxxxa", "xxxxb"])], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "second", lambda t: F.ascii(F.right(t, F.lit(1))).cast("long"))
+    with pytest.raises(RuntimeError):
+        simhash.text_keys(few, "text")
