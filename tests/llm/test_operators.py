@@ -480,7 +480,7 @@ MIT = licences.TEMPLATES[3][1].split("Copyright (c)")[1]
 def wrapped(text, width, mark=""):
     import textwrap
 
-    return "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), width))
+    return "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), width, break_long_words=False, break_on_hyphens=False))
 
 
 def test_licence_headers(spark):
@@ -504,6 +504,28 @@ def test_licence_headers(spark):
     assert [(r.licence, r.how) for r in sorted(licences.licences(df).collect(), key=lambda r: r.row.doc_id)] == [w for *_, w in rows]
 
 
+def test_licences_at_any_width(spark):
+    """Whole licences amid other text, at widths from one word a line up, with and without comment marks, repeated, and in one unpunctuated line."""
+    first = lambda name, word: next(t for n, t in licences.TEMPLATES if n == name and word in t)
+    texts = {"MIT": MIT, "BSD-2-Clause": first("BSD-2-Clause", "DISCLAIMED"), "BSD-3-Clause": first("BSD-3-Clause", "DISCLAIMED"), "ISC": first("ISC", "AUTHOR"), "Zlib": first("Zlib", "Altered"), "Unlicense": first("Unlicense", "perpetuity")}
+    filler = "\n".join(f"x{i} = compute(y{i % 7}, {i})  # step {i} of the plan" for i in range(40))
+    rows = []
+    for name, text in texts.items():
+        for width in (1, 15, 20, 30, 45, 100):
+            rows.append((name, f"{filler}\n{wrapped(text, width, '# ')}\n{filler}"))
+            rows.append((name, f"{wrapped(filler, width)}\n{wrapped(text, width)}\n{wrapped(filler, width)}"))
+        rows.append((name, "\n\n".join([wrapped(text, 20)] * 5)))
+        rows.append((name, " ".join(["word"] * 301 + re.findall(r"[\w-]+", text) + ["word"] * 300)))
+    # The words of a licence in another order of lines, far apart, are none.
+    words = texts["MIT"].split()
+    rows.append((None, "\n".join(f"{w} {PROSE}" for w in words)))
+    # Most texts of a corpus have no licence.
+    rows += [(None, f"plain text {i}") for i in range(500)]
+    df = spark.createDataFrame([(i, "a/b.txt", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.row.doc_id: r.licence for r in licences.licences(df).collect()}
+    assert [(i, got[i], name) for i, (name, _) in enumerate(rows) if got[i] != name] == []
+
+
 def test_licences_brute_force(docs, odd):
     """Scores against the definition, computed for each document by itself."""
     import math
