@@ -30,11 +30,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def opened(path: str, mode: str):
-    """A stream of any file system that pyarrow knows by the path's scheme; Hadoop's names for object stores are translated."""
+    """A stream of any file system that pyarrow knows by the path's scheme; Hadoop's names for object stores are translated.
+
+    mode: "w" writes, "r" reads from the start, "at" reads anywhere.
+    """
     from pyarrow import fs
 
     for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://"), ("gs://", "gcs://"), ("abfss://", "abfs://")):
         if path.startswith(theirs):
             path = ours + path[len(theirs) :]
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return system.open_output_stream(inner) if mode == "w" else system.open_input_stream(inner)
+    if path.startswith("file:") or "://" not in path:
+        system, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, inner = fs.FileSystem.from_uri(path)
+    return {"w": system.open_output_stream, "r": system.open_input_stream, "at": system.open_input_file}[mode](inner)

@@ -45,7 +45,7 @@ def _sum(c: str):
 @query(_BYTES + "SELECT id, label, 1 AS channels, 8 AS rows, 8 AS cols, list_sum(q) AS s, q[11] AS q10 FROM b")
 def labelled_array_files(spark, d):
     path = _written(spark, readers.labelled_files(images(spark, d), 10), None)
-    df = readers.read_labelled_arrays(spark, path)
+    df = readers.read_labelled_arrays(spark, path, span=300)
     return df.select(_id().alias("id"), "label", "channels", "rows", "cols", _sum("data").alias("s"), F.get("data", F.lit(10)).alias("q10"))
 
 
@@ -66,10 +66,11 @@ def labelled_array_counts(spark, d):
 def stl_files(spark, d):
     """Images tiled to records of 3 x 96 x 96, stored by column, and their labels in a file of bytes."""
     df = images(spark, d)
-    x = readers.decoded(spark, _written(spark, df, lambda b: b"".join(np.tile(_bytes(r).ravel(), 432).tobytes() for r in b.itertuples())), readers.stl_images, readers.IMAGE)
-    y = readers.decoded(spark, _written(spark, df, lambda b: bytes(int(r.label) for r in b.itertuples())), lambda c: ((v,) for v in c), "path string, pos long, label int")
-    x = x.select(_id().alias("id"), _sum("data").alias("s"), F.get("data", F.lit(96 * 7 + 5)).alias("at"))
-    return x.join(y.select(_id().alias("id"), "label"), "id").select("id", "label", "s", "at")
+    x = _written(spark, df, lambda b: b"".join(np.tile(_bytes(r).ravel(), 432).tobytes() for r in b.itertuples()))
+    y = _written(spark, df, lambda b: bytes(int(r.label) for r in b.itertuples()))
+    # Spans of four images, so that files are split.
+    out = readers.read_stl(spark, x, y, 4 * 27648)
+    return out.select(_id().alias("id"), "label", _sum("data").alias("s"), F.get("data", F.lit(96 * 7 + 5)).alias("at"))
 
 
 @query(PX + "SELECT label, round(sum(v), 4) AS s, round(max(CASE WHEN y = 1 AND x = 3 THEN v END), 5) AS at FROM px GROUP BY id, label")

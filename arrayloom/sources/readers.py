@@ -1,8 +1,11 @@
 """Readers and writers of labelled-array formats: Spark reads the files, helpers decode records.
 
-Binary formats with length-prefixed records can't be split, so a file is one
-task's work; many files spread. All writers keep Spark's committer: a table of
-encoded files (name, content) or Parquet.
+Labelled arrays and records of one size are read by spans: a first pass lists the
+spans of each file (by hopping from size to size, or from the file's length
+alone), and tasks each read a span's bytes, so one file may be of any length and
+is read by many tasks. Files of the other formats are one task's work each; many
+files spread. All writers keep Spark's committer: a table of encoded files (name,
+content) or Parquet.
 """
 
 from __future__ import annotations
@@ -10,14 +13,17 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import opened, staged
 
+#: Bytes of a file that a task takes at once.
+SPAN = 32 << 20
 IMAGE = "path string, pos long, label int, channels int, rows int, cols int, data array<double>"
 
 
@@ -40,35 +46,102 @@ def decoded(spark: SparkSession, paths: str | list[str], decode, schema: str) ->
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
 
 
-def labelled_records(content: bytes, checked: bool = True) -> Iterator[tuple]:
-    """Big-endian: a count; per record its size, then label (8 bytes), extents (count, then 8 bytes each, the innermost first), values (count, then bytes)."""
-    count, at, n = struct.unpack_from(">I", content)[0], 4, 0
+def files_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, length of files; contents aren't read."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length")
+
+
+def labelled_records(content: bytes) -> Iterator[tuple]:
+    """Big-endian records: size, then label (8 bytes), extents (count, then 8 bytes each, the innermost first), values (count, then bytes)."""
+    at = 0
     while at < len(content):
-        size = struct.unpack_from(">I", content, at)[0]
-        record, at, n = content[at + 4 : at + 4 + size], at + 4 + size, n + 1
-        label, dims = struct.unpack_from(">qq", record)
-        extents = struct.unpack_from(f">{dims}q", record, 16)
-        values = struct.unpack_from(">q", record, 16 + 8 * dims)[0]
-        start = 24 + 8 * dims
-        data = np.frombuffer(record, np.uint8, values, start).astype(float)
+        label, dims = struct.unpack_from(">qq", content, at + 4)
+        extents = struct.unpack_from(f">{dims}q", content, at + 20)
+        values = struct.unpack_from(">q", content, at + 20 + 8 * dims)[0]
+        data = np.frombuffer(content, np.uint8, values, at + 28 + 8 * dims).astype(float)
         cols, rows, channels = (*extents, 1, 1, 1)[:3]
-        if checked and n > count:
-            break
         yield label, channels, rows, cols, data
-    if checked and n != count:
-        raise ValueError(f"the header says {count} records, the file has {n} or more")
+        at += 4 + struct.unpack_from(">I", content, at)[0]
+
+
+def labelled_spans(spark: SparkSession, paths: str | list[str], first: int | None = None, checked: bool = True, span: int = SPAN) -> DataFrame:
+    """path, pos, start, stop: runs of whole records of at least `span` bytes (the last of a file has fewer), and the number of their first record.
+
+    A file is a big-endian count and its records. Only sizes of records are read,
+    and with `first`, only those of the first records. Where the walk reaches the
+    end, a count that isn't that of the records is an error if `checked`.
+    """
+
+    def walk(path: str, length: int) -> Iterator[tuple]:
+        with opened(path, "at") as raw, io.BufferedReader(raw, 1 << 16) as f:
+            head = f.read(4)
+            if len(head) < 4:
+                raise ValueError(f"{path} has no header")
+            count, at, n, start, began = struct.unpack(">I", head)[0], 4, 0, 4, 0
+            while at < length and (first is None or n < first):
+                f.seek(at)
+                at, n = at + 4 + struct.unpack(">I", f.read(4))[0], n + 1
+                if at > length:
+                    raise ValueError(f"record {n} of {path} is cut off")
+                if at - start >= span:
+                    yield path, began, start, at
+                    start, began = at, n
+            if at > start:
+                yield path, began, start, at
+            if checked and at == length and n != count:
+                raise ValueError(f"the header of {path} says {count} records, the file has {n}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, length in zip(b["path"], b["length"], strict=True):
+                yield from framed(walk(path, int(length)), ["path", "pos", "start", "stop"])
 
+    return files_of(spark, paths).repartition("path").mapInPandas(run, "path string, pos long, start long, stop long")
 
-def read_labelled_arrays(spark: SparkSession, paths: str | list[str], first: int | None = None, checked: bool = True) -> DataFrame:
-    """path, pos, label, channels, rows, cols, data. first: only that many records of each file."""
-    df = decoded(spark, paths, lambda c: labelled_records(c, checked), IMAGE)
-    return df if first is None else df.filter(F.col("pos") < first)
+
+def framed(rows: Iterator[tuple], names: list[str], each: int = 1000) -> Iterator[pd.DataFrame]:
+    """rows as frames of at most `each`."""
+    while held := list(islice(rows, each)):
+        yield pd.DataFrame(held, columns=names)
+
+
+def read_spans(spans: DataFrame, decode, schema: str, parts: int | None = None) -> DataFrame:
+    """spans (path, pos, start, stop), dealt among tasks and read, through decode(bytes): path, pos, and what it yields by record."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in b.itertuples():
+                with opened(s.path, "at") as f:
+                    f.seek(int(s.start))
+                    content = f.read(int(s.stop - s.start))
+                yield from framed(((s.path, s.pos + k, *row) for k, row in enumerate(decode(content))), names)
+
+    parts = parts or int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spans.repartition(parts, "path", "start").mapInPandas(run, schema)
+
+
+def read_labelled_arrays(spark: SparkSession, paths: str | list[str], first: int | None = None, checked: bool = True, span: int = SPAN) -> DataFrame:
+    """path, pos, label, channels, rows, cols, data. first: only that many records of each file, and no byte behind them.
+
+    A file without records gives no rows; one without a header, or cut off within
+    a record, is an error.
+    """
+    return read_spans(labelled_spans(spark, paths, first, checked, span), labelled_records, IMAGE)
 
 
 def record_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, records: from the headers."""
-    head = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("long")
-    return spark.read.format("binaryFile").load(paths).select("path", head.alias("records"))
+    """path, records: from the four bytes at the head of each file; nothing else is read."""
+
+    def head(path: str) -> int:
+        with opened(path, "at") as f:
+            return struct.unpack(">I", f.read(4))[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "records": [head(p) for p in b["path"]]})
+
+    return files_of(spark, paths).select("path").mapInPandas(run, "path string, records long")
 
 
 def encode_labelled(rows: list[tuple]) -> bytes:
@@ -122,23 +195,34 @@ def stl_images(content: bytes) -> Iterator[tuple]:
         yield 0, 3, 96, 96, a.astype(float).ravel()
 
 
-def fixed_records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """pos, record: files of records of one size, split among tasks wherever Spark likes, so they may be of any length."""
-    rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    return spark.createDataFrame(rows, "pos long, record binary")
+def fixed_records(spark: SparkSession, paths: str | list[str], size: int, span: int = SPAN) -> DataFrame:
+    """path, pos, number, record: files of records of one size, split by their lengths, so they may be of any.
 
+    pos counts within a file, number through all files in the order of their
+    paths. Bytes that make no whole record are left out.
+    """
+    each = max(1, span // size)
+    # A row a file stands in this window.
+    n = F.expr(f"length div {size}")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = staged(files_of(spark, paths).select("path", n.alias("n")).select("path", "n", before.alias("before")), "files")
+    spans = files.filter("n > 0").select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(each).cast("long"))).alias("pos"))
+    spans = spans.select("path", "pos", (F.col("pos") * size).alias("start"), (F.least("n", F.col("pos") + each) * size).alias("stop"))
+    rows = read_spans(spans, lambda c: ((c[k : k + size],) for k in range(0, len(c), size)), "path string, pos long, record binary")
+    return rows.join(files.select("path", "before"), "path").select("path", "pos", (F.col("before") + F.col("pos")).alias("number"), "record")
 
-def read_stl(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """Images joined to their one-byte labels by position. Both files are split."""
+
+def read_stl(spark: SparkSession, images: str, labels: str, span: int = SPAN) -> DataFrame:
+    """Images joined to their one-byte labels by number, with path and pos of the image. Both kinds of file are split."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"pos": b["pos"], "data": [next(stl_images(bytes(r)))[4] for r in b["record"]]})
+            yield b.drop(columns="record").assign(data=[next(stl_images(bytes(r)))[4] for r in b["record"]])
 
-    x = fixed_records(spark, images, 27648).mapInPandas(run, "pos long, data array<double>")
-    y = fixed_records(spark, labels, 1).select("pos", F.conv(F.hex("record"), 16, 10).cast("int").alias("label"))
+    x = fixed_records(spark, images, 27648, span).mapInPandas(run, "path string, pos long, number long, data array<double>")
+    y = fixed_records(spark, labels, 1, span).select("number", F.conv(F.hex("record"), 16, 10).cast("int").alias("label"))
     extents = [F.lit(v).alias(n) for n, v in (("channels", 3), ("rows", 96), ("cols", 96))]
-    return x.join(y, "pos").select("pos", "label", *extents, "data")
+    return x.join(y, "number").select("path", "pos", "label", *extents, "data")
 
 
 def read_digits(spark: SparkSession, path: str, side: int = 28) -> DataFrame:
@@ -271,8 +355,6 @@ def half_split(df: DataFrame, index: str, half: int) -> DataFrame:
 
 def first_per_class(df: DataFrame, n: int, seed: int, label: str = "label", key: str = "path") -> DataFrame:
     """df with train: the first n of each class in a shuffled order that depends on seed and key."""
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
     return df.withColumn("train", at <= n)
 

@@ -289,3 +289,51 @@ def test_small_things(spark, tmp_path):
     assert joins.complex_distance(z, ["id"]).first().d == -1
     (tmp_path / "c.bin").write_bytes(struct.pack("<IHHH", 13, 4, 2, 2) + struct.pack("<HB", 3, 200))
     assert readers.read_sparse_characters(spark, str(tmp_path / "c.bin")).first().v == [200.0]
+
+
+def test_spans_of_record_files(spark, tmp_path):
+    """One file is read by many tasks, in spans of whole records; a prefix needs no byte behind it; odd files are errors."""
+    images = [(i % 3, np.arange(12.0).reshape(1, 3, 4) * (i + 1)) for i in range(50)]
+    content = readers.encode_labelled(images)
+    path = tmp_path / "some file.bin"
+    path.write_bytes(content)
+    got = readers.read_labelled_arrays(spark, str(path), span=100).withColumn("task", F.spark_partition_id()).orderBy("pos").collect()
+    assert [(r.pos, r.label, r.channels, r.rows, r.cols) for r in got] == [(i, i % 3, 1, 3, 4) for i in range(50)]
+    assert all(r.data == [round(k / 11 * 255) for k in range(12)] for r in got)
+    assert len({r.task for r in got}) > 1
+    for span in (1, 68, 10**9):
+        assert readers.read_labelled_arrays(spark, str(path), span=span).count() == 50
+    # The records behind the third are cut off.
+    (tmp_path / "cut.bin").write_bytes(content[: 4 + 3 * (len(content) - 4) // 50 + 7])
+    assert [r.pos for r in readers.read_labelled_arrays(spark, str(tmp_path / "cut.bin"), first=3).orderBy("pos").collect()] == [0, 1, 2]
+    assert readers.record_counts(spark, str(tmp_path / "cut.bin")).first().records == 50
+    for bad in (content[:200], content[:2]):
+        (tmp_path / "bad.bin").write_bytes(bad)
+        with pytest.raises(Exception, match="cut off|no header"):
+            readers.read_labelled_arrays(spark, str(tmp_path / "bad.bin")).collect()
+    (tmp_path / "none.bin").write_bytes(readers.encode_labelled([]))
+    assert readers.read_labelled_arrays(spark, str(tmp_path / "none.bin")).count() == 0
+
+
+def test_long_record_file(spark, tmp_path):
+    """A sparse file above 2 GiB: the head counts, the first records and the last are read."""
+    record = readers.encode_labelled([(7, np.arange(4.0).reshape(1, 2, 2))])[4:]
+    size = (1 << 31) - 1
+    with open(tmp_path / "long.bin", "wb") as f:
+        f.write((4).to_bytes(4, "big") + record + size.to_bytes(4, "big"))
+        f.seek(size, 1)
+        f.write(record + record)
+    spans = readers.labelled_spans(spark, str(tmp_path / "long.bin"), span=1).orderBy("start").collect()
+    n = len(record)
+    assert [(r.pos, r.start, r.stop) for r in spans] == [(0, 4, 4 + n), (1, 4 + n, 8 + n + size), (2, 8 + n + size, 8 + 2 * n + size), (3, 8 + 2 * n + size, 8 + 3 * n + size)]
+    last = readers.read_spans(spark.createDataFrame(spans[2:]), readers.labelled_records, readers.IMAGE).collect()
+    assert sorted((r.pos, r.label, r.data) for r in last) == [(2, 7, [0, 85, 170, 255]), (3, 7, [0, 85, 170, 255])]
+    assert readers.record_counts(spark, str(tmp_path / "long.bin")).first().records == 4
+
+
+def test_fixed_records(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"aabbccddee")
+    (tmp_path / "b").write_bytes(b"")
+    (tmp_path / "c").write_bytes(b"ffgghhi")
+    got = readers.fixed_records(spark, str(tmp_path / "*"), 2, span=4).orderBy("number").collect()
+    assert [(r.path[-1], r.pos, r.number, bytes(r.record)) for r in got] == [(p, k, n, v * 2) for n, (p, k, v) in enumerate([*((("a", i, x)) for i, x in enumerate([b"a", b"b", b"c", b"d", b"e"])), *((("c", i, x)) for i, x in enumerate([b"f", b"g", b"h"]))])]
