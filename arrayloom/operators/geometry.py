@@ -271,6 +271,17 @@ def laplacian_pyramid(plane: np.ndarray, levels: int) -> list[np.ndarray]:
     return [*out, plane]
 
 
+def laplacian_inverse(bands: list[np.ndarray]) -> np.ndarray:
+    """The plane of laplacian_pyramid(): from the last copy on, each doubled, blurred and added to the differences above it."""
+    k = np.array([0.05, 0.25, 0.4, 0.25, 0.05])
+    plane = bands[-1]
+    for band in bands[-2::-1]:
+        large = np.zeros_like(band)
+        large[::2, ::2] = plane
+        plane = band + circular(large, 2 * k)
+    return plane
+
+
 def circular(plane: np.ndarray, taps: np.ndarray) -> np.ndarray:
     """Separable circular filtering with centred taps."""
     for axis in (0, 1):
@@ -316,25 +327,46 @@ def wavelet_inverse(bands: list[list[np.ndarray]], name: str = "d4") -> np.ndarr
     return plane
 
 
-def steerable_pyramid(plane: np.ndarray, levels: int, bands: int = 3) -> list[list[np.ndarray]]:
-    """The high residual, per level the oriented bands, and the low residual, by frequency windows."""
+def steerable_windows(shape: tuple[int, int], bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """On an extent's frequencies: the first split's high and low windows, a level's oriented windows and its low one."""
     from .pyramids import frequencies, g1, h1, l1
 
-    def windows(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        y, x = np.meshgrid(frequencies(shape[0]), frequencies(shape[1]), indexing="ij")
-        return np.hypot(y, x), np.arctan2(y, x)
+    y, x = np.meshgrid(frequencies(shape[0]), frequencies(shape[1]), indexing="ij")
+    r, a = np.hypot(y, x), np.arctan2(y, x)
+    oriented = [h1(r) * (g1(k, bands, a) + g1(k, bands, a + math.pi) * (-1) ** (bands - 1)) * (1j) ** (bands - 1) for k in range(bands)]
+    return h1(r / 2), l1(r / 2) / 2, np.stack(oriented), l1(r)
+
 
+def steerable_pyramid(plane: np.ndarray, levels: int, bands: int = 3) -> list[list[np.ndarray]]:
+    """The high residual, per level the oriented bands, and the low residual, by frequency windows."""
     f = np.fft.fft2(plane)
-    r, _ = windows(plane.shape)
-    out = [[np.fft.ifft2(f * h1(r / 2)).real]]
-    f = f * l1(r / 2) / 2
+    high, low, _, _ = steerable_windows(plane.shape, bands)
+    out = [[np.fft.ifft2(f * high).real]]
+    f = f * low
     for _ in range(levels):
-        r, a = windows(f.shape)
-        out.append([np.fft.ifft2(f * h1(r) * (g1(k, bands, a) + g1(k, bands, a + math.pi) * (-1) ** (bands - 1)) * (1j) ** (bands - 1)).real for k in range(bands)])
-        f = np.fft.fft2(np.fft.ifft2(f * l1(r)).real[::2, ::2])
+        _, _, oriented, low = steerable_windows(f.shape, bands)
+        out.append(list(np.fft.ifft2(f * oriented).real))
+        f = np.fft.fft2(np.fft.ifft2(f * low).real[::2, ::2])
     return [*out, [np.fft.ifft2(f).real]]
 
 
+def steerable_inverse(parts: list[list[np.ndarray]]) -> np.ndarray:
+    """The plane of steerable_pyramid(), whose windows' squares add up to 1; extents must be even at every level, bands two or more.
+
+    A level's low part, set between zeros, has the spectrum of the smaller plane
+    repeated; the low window keeps one copy.
+    """
+    f = np.fft.fft2(parts[-1][0])
+    for planes in parts[-2:0:-1]:
+        shape = planes[0].shape
+        if len(planes) < 2 or shape != (2 * f.shape[0], 2 * f.shape[1]):
+            raise ValueError("one band, or an odd extent was halved")
+        _, _, oriented, low = steerable_windows(shape, len(planes))
+        f = low * np.tile(f, (2, 2)) + (np.conj(oriented) * np.fft.fft2(np.stack(planes))).sum(0)
+    high, low, _, _ = steerable_windows(parts[0][0].shape, 1)
+    return np.fft.ifft2(low * f + high * np.fft.fft2(parts[0][0])).real
+
+
 def drawn(image: np.ndarray, shapes: list[tuple], color: tuple[float, float, float]) -> np.ndarray:
     """A colour image with circles ("circle", y, x, radius) and points ("point", y, x) over it; grey becomes colour."""
     out = np.repeat(image, 3, axis=0) if len(image) == 1 else image.copy()

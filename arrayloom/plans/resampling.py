@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import filters, geometry, stats
+from ..operators import filters, geometry, pyramids, stats
 from .registry import PX, images, query, r6, vectors
 
 
@@ -181,6 +181,31 @@ def wavelet_round_trip(spark, d):
     return _values(back.withColumn("n", F.col("channels")), "n")
 
 
+_AGAIN = PX + "SELECT id, 1 AS n, (i)::INT AS o, round(v, 5) + 0.0 AS v FROM px"
+
+
+def _again(spark, d, f):
+    """All pixels after f(stack), which takes images apart and puts them together."""
+    back = geometry.stage(images(spark, d), lambda a, _: f(a))
+    return _values(back.withColumn("n", F.col("channels")), "n")
+
+
+@query(_AGAIN)
+def laplacian_round_trip(spark, d):
+    return _again(spark, d, lambda a: geometry.laplacian_inverse(geometry.laplacian_pyramid(a[0], 2))[None])
+
+
+@query(_AGAIN)
+def steerable_round_trip(spark, d):
+    return _again(spark, d, lambda a: geometry.steerable_inverse(geometry.steerable_pyramid(a[0], 2, 4))[None])
+
+
+@query(_AGAIN)
+def pinwheel_round_trip(spark, d):
+    p = pyramids.Pyramid(8, 8, 2, 4)
+    return _again(spark, d, lambda a: p.inverse(*p.responses(a)))
+
+
 @query(PX + "SELECT id, (y // 2 * 4 + x // 2)::INT AS point, round(sign(abs(v)), 6) + 0.0 AS s FROM px WHERE y % 2 = 0 AND x % 2 = 0")
 def pixel_descriptors(spark, d):
     """Channel vectors of every second pixel over their length; of one channel, 1."""
