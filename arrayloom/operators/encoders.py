@@ -56,7 +56,7 @@ def drawn(seed: int, vec: str = "vec") -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), vec), 11) + 0.5) / float(1 << 53)
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-3, rounds: int = 50, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
+def kmeans(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-3, rounds: int = 50, vec: str = "vec", kept=None) -> tuple[np.ndarray, np.ndarray]:
     """Lloyd's centers and their sizes. An error if there are fewer points than centers.
 
     Seeds are drawn in turn with probability by squared distance from those
@@ -64,8 +64,14 @@ def kmeans(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-3, rounds
     time. A draw depends on the seed and the vector alone, never on partitions;
     equal vectors draw alike. An empty cluster takes the point farthest from its center.
     Stops when the distortion changes by less than threshold of itself, or is 0.
+    With kept (sources.models.Rounds) every round is written, and training goes
+    on from the last whole one: the end is the same as without a stop.
     """
     rows = df.select(F.col(vec).cast("array<double>").alias("vec"))
+    done = kept.last() if kept else None
+    if done:
+        start, (centers, last) = done[0], done[1]
+        return _lloyd(rows, centers, float(last), start, threshold, rounds, kept)
     if rows.limit(k).count() < k:
         raise ValueError("there are fewer points than clusters")
     centers = np.array([rows.agg(F.min_by("vec", F.struct(drawn(seed), "vec")).alias("v")).first()["v"]])
@@ -74,8 +80,15 @@ def kmeans(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-3, rounds
         w = -F.log(drawn(seed + n)) / F.when(F.col("d2") > 0, F.col("d2"))
         pick = far.agg(F.min_by("vec", F.when(w.isNotNull(), F.struct(w, "vec"))).alias("v"), F.max_by("vec", F.struct("d2", "vec")).alias("f")).first()
         centers = np.vstack([centers, pick.v or pick.f])
-    last, sizes = math.inf, np.zeros(k)
-    for _ in range(rounds):
+    return _lloyd(rows, centers, math.inf, 0, threshold, rounds, kept)
+
+
+def _lloyd(rows: DataFrame, centers: np.ndarray, last: float, start: int, threshold: float, rounds: int, kept) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds from number `start` on; a round of that number has its centers and the distortion before them."""
+    k, sizes = len(centers), np.zeros(len(centers))
+    for number in range(start, max(rounds, start + 1)):
+        if kept and (number > start or not number):
+            kept.keep(number, (centers, np.array(last)))
         now = assigned(rows, centers)
         means = now.select("k", "d2", F.posexplode("vec").alias("i", "v")).groupBy("k", "i").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("d2").alias("s")).collect()
         sizes, distortion, new = np.zeros(k), 0.0, centers.copy()
@@ -154,11 +167,11 @@ def em_step(df: DataFrame, w: np.ndarray, mu: np.ndarray, var: np.ndarray, vec:
     return s.select("k", "i", (F.col("n") / total).alias("weight"), m.alias("mu"), (F.col("s2") / F.col("n") - m * m).alias("var"))
 
 
-def gmm(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-4, rounds: int = 50, floor: float = 1e-6, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A diagonal mixture by EM: weights, means, variances. Empty or collapsed components are drawn anew.
+def gmm(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-4, rounds: int = 50, floor: float = 1e-6, vec: str = "vec", kept=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A diagonal mixture by EM: weights, means, variances. Empty or collapsed components are drawn anew, by seed and round.
 
     Stops at a relative change of the likelihood below threshold; a round that
-    lowers it gives the model before.
+    lowers it gives the model before. kept is as in kmeans().
     """
     rng = np.random.default_rng(seed)
     bounds = df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("i", "v")).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.var_pop("v").alias("var")).orderBy("i").collect()
@@ -166,8 +179,15 @@ def gmm(df: DataFrame, k: int, seed: int = 1, threshold: float = 1e-4, rounds: i
     draw = lambda n: (rng.uniform(lo, hi, (n, len(lo))), np.tile(np.maximum(v, floor), (n, 1)))
     w = rng.uniform(1, 1000, k)
     model = (w / w.sum(), *draw(k))
-    last, before = -math.inf, model
-    for _ in range(rounds):
+    last, before, start = -math.inf, model, 0
+    done = kept.last() if kept else None
+    if done:
+        start, (*arrays, seen) = done
+        model, before, last = tuple(arrays[:3]), tuple(arrays[3:]), float(seen)
+    for number in range(start, rounds):
+        if kept and (number > start or not number):
+            kept.keep(number, (*model, *before, np.array(last)))
+        rng = np.random.default_rng((seed, number))
         # One pass: every row's log density rides along with its sums.
         shares = responsibilities(df, *model, vec)
         by = shares.select("ll", F.posexplode("a").alias("k", "r"), F.col(vec).cast("array<double>").alias("vec")).select("ll", "k", "r", F.posexplode("vec").alias("i", "x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import classifiers, duals, encoders, geometry, pyramids, stats
+from ..operators import classifiers, duals, encoders, geometry, kernel_duals, pyramids, stats
 from .registry import EM, images, query, r6, vectors
 
 
@@ -155,6 +155,20 @@ def joint_hinge(spark, d):
     return _gaps(spark, model.labels, [gap] * len(model.labels))
 
 
+@query(_GAPS)
+def sparse_hinge(spark, d):
+    """As dual_hinge, for the machines with an L1 penalty: whether each label's optimality condition holds within a thousandth."""
+    model, violation = classifiers.train_sparse(vectors(spark, d), 64, 1.0, vec="v")
+    return _gaps(spark, model.labels, violation)
+
+
+@query(_GAPS)
+def kernel_machines_all(spark, d):
+    """As sparse_hinge, for kernel machines trained on all vectors."""
+    model = kernel_duals.train_kernel_all(vectors(spark, d), vec="v")
+    return _gaps(spark, model.labels, model.violations)
+
+
 @query()
 def cross_validation(spark, d):
     df = vectors(spark, d)

@@ -57,14 +57,19 @@ def of_arrays(arrays: dict[str, np.ndarray]):
     return tuple(arrays[f"tuple/{i}"] for i in range(count))
 
 
-def save(spark: SparkSession, model, path: str) -> None:
-    """An error if there is something at path. Empty arrays and single numbers are kept as they are."""
+def model_rows(model) -> list[tuple]:
+    """A model's rows by SCHEMA."""
     rows = []
     for name, a in to_arrays(model).items():
         a = np.asarray(a, dtype=float)
         slices = a.reshape(len(a), -1) if a.ndim else a.reshape(1, 1)
         rows += [(name, i, list(a.shape), [float(x) for x in s]) for i, s in enumerate(slices)] or [(name, -1, list(a.shape), [])]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    return rows
+
+
+def save(spark: SparkSession, model, path: str) -> None:
+    """An error if there is something at path. Empty arrays and single numbers are kept as they are."""
+    spark.createDataFrame(model_rows(model), SCHEMA).write.parquet(path)
 
 
 def rows_of(spark: SparkSession, path: str) -> DataFrame:
@@ -74,8 +79,13 @@ def rows_of(spark: SparkSession, path: str) -> DataFrame:
 
 def load(spark: SparkSession, path: str):
     """The model that save() wrote."""
+    return of_rows(rows_of(spark, path))
+
+
+def of_rows(table: DataFrame):
+    """The model of rows by SCHEMA."""
     parts: dict[str, list] = {}
-    for r in rows_of(spark, path).orderBy("part", "pos").collect():
+    for r in table.orderBy("part", "pos").collect():
         parts.setdefault(r["part"], []).append(r)
     return of_arrays({name: np.array([x for r in rows for x in r["data"]]).reshape(rows[0]["shape"]) for name, rows in parts.items()})
 
@@ -93,3 +103,37 @@ def magnitude_stats(df: DataFrame, filter_: str, magnitude: str) -> dict[str, np
     """By filter, mean and variance of magnitudes (rows of filter number and magnitude), for normalised features."""
     rows = df.groupBy(filter_).agg(F.avg(magnitude).alias("mean"), F.var_pop(magnitude).alias("var")).orderBy(filter_).collect()
     return {"filter": np.array([r[0] for r in rows], dtype=float), "mean": np.array([r["mean"] for r in rows]), "variance": np.array([r["var"] for r in rows])}
+
+
+class Rounds:
+    """A model's rounds of training at a path: one folder of rows a round, so that training stopped in any of them goes on.
+
+    A round's rows carry their number, and a round with fewer isn't whole: it
+    is left out, and written anew when training gets there. Whoever resumes has
+    to give the same data and parameters; `about` names them, and rounds
+    written under another name are an error.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, about: str = "") -> None:
+        self.spark, self.path, self.about = spark, path, about
+
+    def keep(self, number: int, model) -> None:
+        """Rows are counted before they are written, into one file."""
+        rows = model_rows(model)
+        schema = SCHEMA + ", whole long, about string"
+        table = self.spark.createDataFrame([(*r, len(rows), self.about) for r in rows], schema)
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/round={number}")
+
+    def last(self) -> tuple[int, object] | None:
+        """The number and model of the last whole round; None where there is none."""
+        try:
+            table = self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return None
+        sizes = table.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"), F.max("about").alias("about"))
+        found = sizes.filter(F.col("n") == F.col("whole")).orderBy(F.desc("round")).first()
+        if found is None:
+            return None
+        if found.about != self.about:
+            raise ValueError(f"the rounds at {self.path} are those of {found.about!r}, not {self.about!r}")
+        return int(found["round"]), of_rows(table.filter(F.col("round") == found["round"]))
