@@ -282,13 +282,36 @@ def complex_correlation(are: Column, aim: Column, bre: Column, bim: Column) -> C
 
 
 def map_centres(maps: np.ndarray) -> np.ndarray:
-    """Each map's magnitude at its centre of mass (1-based positions, rounded half to even)."""
-    out = []
-    for m in np.abs(maps):
-        y, x = np.mgrid[1 : m.shape[0] + 1, 1 : m.shape[1] + 1]
-        total = m.sum()
-        out.append(m[min(round((y * m).sum() / total), m.shape[0]) - 1, min(round((x * m).sum() / total), m.shape[1]) - 1] if total else 0.0)
-    return np.array(out)
+    """Each map's magnitude at its centre of mass; 0 for a map of zeros."""
+    return np.abs(at_centres(maps))
+
+
+def at_centres(maps: np.ndarray) -> np.ndarray:
+    """Each map's value at the centre of mass of its magnitudes (1-based positions, rounded half to even); 0 for a map of zeros."""
+    m = np.abs(maps)
+    total = m.sum((1, 2))
+    whole = np.where(total > 0, total, 1.0)
+    y = np.rint((m.sum(2) @ np.arange(1, m.shape[1] + 1)) / whole).astype(int)
+    x = np.rint((m.sum(1) @ np.arange(1, m.shape[2] + 1)) / whole).astype(int)
+    return np.where(total > 0, maps[np.arange(len(maps)), np.maximum(y, 1) - 1, np.maximum(x, 1) - 1], 0.0)
+
+
+def centre_features(df: DataFrame, bank: Bank, down: int = 1) -> DataFrame:
+    """Images filtered by all of a bank, every down-th pixel kept; of each map the value at its centre of mass.
+
+    vec holds their magnitudes, the cosines and sines of their phases (1 and 0
+    where there is no magnitude), and for each pair of maps n < m the smaller
+    ratio of magnitudes (0 where one is 0). Maps go by filter, then channel.
+    """
+
+    def f(image: np.ndarray) -> np.ndarray:
+        z = at_centres(np.concatenate(grouped_responses(image, bank))[:, ::down, ::down])
+        m, phase = np.abs(z), np.angle(z)
+        n, k = np.triu_indices(len(m), 1)
+        low, high = np.minimum(m[n], m[k]), np.maximum(m[n], m[k])
+        return np.concatenate([m, np.cos(phase), np.sin(phase), low / np.where(high > 0, high, 1.0)])
+
+    return mapped(df, f)
 
 
 def reconstructed(responses: np.ndarray, filters: np.ndarray) -> np.ndarray:

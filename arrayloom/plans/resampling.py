@@ -244,6 +244,19 @@ def complex_points(spark, d):
     return _magnitudes(filters.magnitude_points(images(spark, d), filters.Bank("gaussian", 2.0, (0.0, 1.0), (0, 1)), border=2, step=2, parts=True))
 
 
+_AT = _convolved(_GAUSS, "range(0, 8)", "y * 8 + x").split(" SELECT id, (")[0]
+_AT += ", n AS (SELECT *, sqrt(re * re + im * im) AS m FROM z), c AS (SELECT id, f, round_even(sum((y + 1) * m) / sum(m), 0)::INT - 1 AS cy, round_even(sum((x + 1) * m) / sum(m), 0)::INT - 1 AS cx FROM n GROUP BY id, f)"
+_AT += ", w AS (SELECT n.id, n.f, m, re / m AS c, im / m AS s FROM n JOIN c ON n.id = c.id AND n.f = c.f AND n.y = cy AND n.x = cx), p AS (SELECT a.id, least(a.m / b.m, b.m / a.m) AS q, row_number() OVER (PARTITION BY a.id ORDER BY a.f, b.f) + 11 AS o FROM w a JOIN w b ON a.id = b.id AND a.f < b.f)"
+_AT += " SELECT id, o::INT AS o, round(v, 5) + 0.0 AS v FROM (SELECT id, f AS o, m AS v FROM w UNION ALL SELECT id, f + 4, c FROM w UNION ALL SELECT id, f + 8, s FROM w UNION ALL SELECT id, o, q FROM p)"
+
+
+@query(_AT)
+def centre_features(spark, d):
+    """Magnitudes, phases and ratios of convolved images, taken at the centres of mass of the maps."""
+    out = filters.centre_features(images(spark, d), filters.Bank("gaussian", 2.0, (0.0, 1.0), (0, 1)))
+    return out.select("id", F.posexplode("vec").alias("o", "v")).select("id", "o", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
 _RING = " UNION ALL ".join(
     f"SELECT {s * 2 + af} AS f, dy, dx, CASE WHEN r > 0 THEN exp(-pow(l - ln({radius}), 2) / 0.5) / r * cos({af} * t) ELSE 0 END AS re, CASE WHEN r > 0 THEN exp(-pow(l - ln({radius}), 2) / 0.5) / r * sin({af} * t) ELSE 0 END AS im FROM off" for s, radius in enumerate((1.5, 3.0)) for af in (0, 1)
 )

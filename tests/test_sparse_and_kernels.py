@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from arrayloom.operators import classifiers, encoders, geometry, kernel_duals, pyramids
+from arrayloom.operators import classifiers, encoders, filters, geometry, kernel_duals, pyramids
 from arrayloom.sources import models
 
 
@@ -112,3 +112,18 @@ def test_training_goes_on(spark, tmp_path, train):
         assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
     with pytest.raises(ValueError):
         models.Rounds(spark, str(tmp_path / "r"), "second").last()
+
+
+def test_values_at_centres():
+    """Against a loop over pixels; a map of zeros, and a centre half way between two pixels."""
+    rng = np.random.default_rng(5)
+    maps = rng.normal(size=(6, 5, 7)) + 1j * rng.normal(size=(6, 5, 7))
+    maps[2], maps[3] = 0, 0
+    maps[3, 1, 0], maps[3, 2, 0] = 1j, 1j
+    want = []
+    for m in maps:
+        total = sum(abs(v) for row in m for v in row)
+        centre = [round(sum((i, j)[axis] * abs(m[i - 1, j - 1]) for i in range(1, 6) for j in range(1, 8)) / total) if total else 1 for axis in (0, 1)]
+        want.append(m[centre[0] - 1, centre[1] - 1])
+    assert np.allclose(filters.at_centres(maps), want) and filters.at_centres(maps)[2] == 0
+    assert filters.at_centres(maps)[3] == 1j  # rows 2 and 3 weigh alike: 2.5 goes to 2
