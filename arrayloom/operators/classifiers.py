@@ -360,11 +360,14 @@ def folds(df: DataFrame, k: int, order: str = "id") -> DataFrame:
     return ranged.withColumn("at_", at).withColumn("fold", F.least(F.floor((offset + F.col("at_") - 1) / max(size, 1)), F.lit(k)).cast("int")).drop("part_", "at_")
 
 
-def cross_validated(df: DataFrame, k: int, fit, order: str = "id") -> list[float]:
-    """Percent right on each fold of a model fit on the others. fit(train) gives a function from test to predicted rows."""
+def cross_validated(df: DataFrame, k: int, fit, order: str = "id", dealt: bool = False) -> list[float]:
+    """Percent right on each fold of a model fit on the others. fit(train) gives a function from test to predicted rows.
+
+    With dealt, df is what folds() gave, staged.
+    """
     from .stats import accuracy
 
-    parts = staged(folds(df, k, order), "folds")
+    parts = df if dealt else staged(folds(df, k, order), "folds")
     out = []
     for f in range(k):
         predict = fit(parts.filter(F.col("fold") != f))
@@ -404,10 +407,11 @@ def train_and_test(train: DataFrame, test: DataFrame, n: int, vec: str = "vec",
 
 
 def best_c(df: DataFrame, n: int, start: float = 1.0, most: float = 4096.0, k: int = 5) -> tuple[float, float]:
-    """C and its accuracy: doubled from start to most, until three doublings bring nothing."""
+    """C and its accuracy: doubled from start to most, until three doublings bring nothing. Folds are dealt once."""
     best, stale, c = (start, -1.0), 0, start
+    parts = staged(folds(df, k), "folds")
     while c <= most and stale < 3:
-        scores = cross_validated(df, k, lambda train, c=c: lambda test, m=train_linear(train, n, c): predicted(test, m))
+        scores = cross_validated(parts, k, lambda train, c=c: lambda test, m=train_linear(train, n, c): predicted(test, m), dealt=True)
         mean = float(np.mean([s for s in scores if s is not None]))
         stale = 0 if mean > best[1] else stale + 1
         best = max(best, (c, mean), key=lambda x: (x[1], -x[0]))
@@ -476,8 +480,11 @@ def train_kernel(df: DataFrame, c: float = 1.0, kind: str = "rbf", gamma: float
     """One-vs-rest machines by label, on at most most_rows rows, drawn by hash within each label: a Gram matrix's bound.
 
     kind "precomputed" takes vec as a row of the kernel matrix, its columns the
-    training rows in order; then all rows are used.
+    training rows in order; then all rows are used, and more than most_rows are
+    an error. kernel_duals.train_kernel_all() has no such bound.
     """
+    if kind == "precomputed" and df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"a kernel matrix of more than {most_rows} rows")
     some = df if kind == "precomputed" else some_rows(df, most_rows, label, order)
     rows = some.select(F.col(order).alias("o"), F.col(label).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("x")).orderBy("o").collect()
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])

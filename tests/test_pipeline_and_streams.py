@@ -55,3 +55,48 @@ def test_assignment_needs_no_shuffle(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0])], "id long, vec array<double>")
     plan = encoders.assigned(df, np.eye(2))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_fold_goes_on_from_its_checkpoint(spark, sf, tmp_path):
+    """Started again when more files are there, a fold's last row by key is that of the whole table; idle keys close."""
+    source = tmp_path / "in"
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    half = events.agg(F.percentile_approx(F.unix_millis("ts"), 0.5)).first()[0]
+    keys = {"event_type": events.schema["event_type"].dataType.simpleString()}
+
+    def run():
+        stream = stages.folded_moments(stages.arrays(spark, str(source), schema, 2), keys, "ts", F.col("value"), "3650 days", 10_000)
+        stages.written(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+        rows = spark.read.parquet(str(tmp_path / "out"))
+        assert rows.filter("closed").count() == 0
+        return {r[0]: r[1] for r in rows.groupBy("event_type").agg(F.max_by(F.struct("n", "mean", "var"), "n")).collect()}
+
+    def equal(df):
+        got, want = run(), df.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")).collect()
+        assert {r.event_type for r in want} == set(got)
+        for r in want:
+            assert got[r.event_type].n == r.n and np.allclose([got[r.event_type].mean, got[r.event_type]["var"]], [r["mean"], r["var"]])
+
+    events.filter(F.unix_millis("ts") <= half).repartition(3).write.parquet(str(source))
+    equal(events.filter(F.unix_millis("ts") <= half))
+    events.filter(F.unix_millis("ts") > half).repartition(3).write.mode("append").parquet(str(source))
+    equal(events)
+    equal(events)  # nothing new
+
+
+def test_idle_keys_close(spark, tmp_path):
+    source, at = tmp_path / "in", "timestamp_millis(1700000000000 + s * 1000)"
+    schema, keys = "k string, ts timestamp, v double", {"k": "string"}
+
+    def run(rows):
+        spark.createDataFrame(rows, "k string, s long, v double").select("k", F.expr(at).alias("ts"), "v").coalesce(1).write.mode("append").parquet(str(source))
+        stream = stages.folded_moments(stages.arrays(spark, str(source), schema), keys, "ts", F.col("v"), "0 seconds", 5000)
+        stages.written(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+        return {(r.k, r.n, r["mean"]) for r in spark.read.parquet(str(tmp_path / "out")).filter("closed").collect()}
+
+    assert run([("a", 0, 1.0), ("a", 1, 3.0), ("b", 1, 7.0), ("b", None, 9.0)]) == set()
+    closed = run([("b", 4, None), ("c", 8, 1.0)])  # the time is 8: a, last seen at 1, is idle; b isn't, seen at 4
+    assert closed == {("a", 2, 2.0)}
+    assert run([("a", 20, 5.0)]) == {("a", 2, 2.0), ("b", 1, 7.0), ("c", 1, 1.0)}
+    assert run([("d", 40, 5.0)]) >= {("a", 1, 5.0)}  # a starts anew after its end
