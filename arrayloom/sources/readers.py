@@ -24,6 +24,8 @@ from ..functions.storage import opened, staged
 
 #: Bytes of a file that a task takes at once.
 SPAN = 32 << 20
+#: STL images that a task holds decoded, of 221 kB each.
+HELD = 64
 IMAGE = "path string, pos long, label int, channels int, rows int, cols int, data array<double>"
 
 
@@ -174,18 +176,20 @@ def labelled_files(df: DataFrame, per_file: int = 1000) -> DataFrame:
 
 
 def save_files(files: DataFrame, folder: str, suffix: str = "") -> DataFrame:
-    """Writes each row (file, content) as a file of folder, from its task; returns path and bytes. A task that runs again writes the same file."""
+    """Writes each row (file, content) as a file of folder, from its task; returns path and bytes. A task that runs again writes the same file.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            paths = [f"{folder}/{name}{suffix}" for name in b["file"]]
-            for path, content in zip(paths, b["content"], strict=True):
-                with opened(path, "w") as f:
-                    f.write(content)
-            yield pd.DataFrame({"path": paths, "bytes": [len(c) for c in b["content"]]})
+    Rows reach Python by the hundred, as a batch of Arrow's may have 10,000 contents.
+    """
+
+    @F.udf("long", useArrow=False)
+    def written(path: str, content: bytes) -> int:
+        with opened(path, "w") as f:
+            f.write(content)
+        return len(content)
 
     files.sparkSession.createDataFrame([], "x int").write.mode("append").parquet(f"{folder}/made")  # makes the folder through Spark
-    return staged(files.mapInPandas(run, "path string, bytes long"), "files")
+    path = F.concat(F.lit(f"{folder}/"), "file", F.lit(suffix))
+    return staged(files.select(path.alias("path"), written.asNondeterministic()(path, "content").alias("bytes")), "files")
 
 
 def stl_images(content: bytes) -> Iterator[tuple]:
@@ -195,34 +199,60 @@ def stl_images(content: bytes) -> Iterator[tuple]:
         yield 0, 3, 96, 96, a.astype(float).ravel()
 
 
-def fixed_records(spark: SparkSession, paths: str | list[str], size: int, span: int = SPAN) -> DataFrame:
-    """path, pos, number, record: files of records of one size, split by their lengths, so they may be of any.
+def fixed_spans(spark: SparkSession, paths: str | list[str], size: int, span: int) -> DataFrame:
+    """path, pos, start, stop, before: spans of files of records of one size, the number of their first record, and that of the records in files before.
 
-    pos counts within a file, number through all files in the order of their
-    paths. Bytes that make no whole record are left out.
+    Files are in the order of their paths. Bytes that make no whole record are left out.
     """
     each = max(1, span // size)
     # A row a file stands in this window.
     n = F.expr(f"length div {size}")
     before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = staged(files_of(spark, paths).select("path", n.alias("n")).select("path", "n", before.alias("before")), "files")
-    spans = files.filter("n > 0").select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(each).cast("long"))).alias("pos"))
-    spans = spans.select("path", "pos", (F.col("pos") * size).alias("start"), (F.least("n", F.col("pos") + each) * size).alias("stop"))
+    spans = files.filter("n > 0").select("path", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(each).cast("long"))).alias("pos"))
+    return spans.select("path", "pos", (F.col("pos") * size).alias("start"), (F.least("n", F.col("pos") + each) * size).alias("stop"), "before")
+
+
+def fixed_records(spark: SparkSession, paths: str | list[str], size: int, span: int = SPAN) -> DataFrame:
+    """path, pos, number, record: files of records of one size, split by their lengths, so they may be of any.
+
+    pos counts within a file, number through all files in the order of their
+    paths. Bytes that make no whole record are left out.
+    """
+    spans = fixed_spans(spark, paths, size, span)
     rows = read_spans(spans, lambda c: ((c[k : k + size],) for k in range(0, len(c), size)), "path string, pos long, record binary")
-    return rows.join(files.select("path", "before"), "path").select("path", "pos", (F.col("before") + F.col("pos")).alias("number"), "record")
+    return rows.join(spans.select("path", "before").distinct(), "path").select("path", "pos", (F.col("before") + F.col("pos")).alias("number"), "record")
 
 
 def read_stl(spark: SparkSession, images: str, labels: str, span: int = SPAN) -> DataFrame:
-    """Images joined to their one-byte labels by number, with path and pos of the image. Both kinds of file are split."""
+    """Images joined to their one-byte labels by number, with path and pos of the image. Both kinds of file are split.
+
+    Labels go to the spans of images, so that these are read where they are
+    decoded and never shuffled, HELD of them at a time.
+    """
+    size = 27648
+    spans = fixed_spans(spark, images, size, span)
+    y = fixed_records(spark, labels, 1, span).select("number", F.conv(F.hex("record"), 16, 10).cast("int").alias("label"))
+    count = F.expr(f"(stop - start) div {size}")
+    rows = spans.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k")).withColumn("number", F.col("before") + F.col("pos") + F.col("k"))
+    told = rows.join(y, "number").groupBy("path", "pos", "start").agg(F.sort_array(F.collect_list(F.struct("k", "label"))).alias("told"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = told.select("path", "pos", "start", F.col("told.k").alias("k"), F.col("told.label").alias("label")).repartition(parts, "path", "start")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.drop(columns="record").assign(data=[next(stl_images(bytes(r)))[4] for r in b["record"]])
-
-    x = fixed_records(spark, images, 27648, span).mapInPandas(run, "path string, pos long, number long, data array<double>")
-    y = fixed_records(spark, labels, 1, span).select("number", F.conv(F.hex("record"), 16, 10).cast("int").alias("label"))
+            for s in b.itertuples():
+                with opened(s.path, "at") as f:
+                    for at in range(0, len(s.k), HELD):
+                        ks, out = s.k[at : at + HELD], []
+                        for k in ks:
+                            f.seek(int(s.start) + int(k) * size)
+                            out.append(next(stl_images(f.read(size)))[4])
+                        yield pd.DataFrame({"path": s.path, "pos": s.pos + ks, "label": s.label[at : at + HELD], "data": out})
+
+    x = told.mapInPandas(run, "path string, pos long, label int, data array<double>")
     extents = [F.lit(v).alias(n) for n, v in (("channels", 3), ("rows", 96), ("cols", 96))]
-    return x.join(y, "number").select("path", "pos", "label", *extents, "data")
+    return x.select("path", "pos", "label", *extents, "data")
 
 
 def read_digits(spark: SparkSession, path: str, side: int = 28) -> DataFrame:
